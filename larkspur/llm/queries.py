@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, looks, packing, splitting
+from larkspur.llm import bpe, fusion, language, looks, packing, splitting
 from larkspur.session import durable, table
 
 
@@ -50,7 +50,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(sizes, valid)
 
 
-QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p4_canonical, p4_found, p7_ids, p8_containers)}
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.identify(documents, language.fit(documents))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(p9_languages(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p4_canonical, p4_found, p7_ids, p8_containers, p9_languages, p9_found)}
 
 SQL = {
     "p1_fused": r"""
