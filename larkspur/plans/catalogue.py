@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from larkspur.plans import units
+
+QUERIES: dict = {**units.QUERIES}
+SQL: dict = {**units.SQL}
