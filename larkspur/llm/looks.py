@@ -23,16 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Cyrillic, Greek, Armenian and phonetic letters, and their Latin look-alikes.
-LOOKALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХҮӀѴԌԚԜаеѕіјорсухһѵԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονροսոɡ",
-        "ABESIJKMHOPCTYXYIVGQWaesijopcyxhvdqwlABEZHIKMNOPTYXovpoung",
-        strict=True,
-    )
-)
+from larkspur.functions.text import LOOKALIKES
+
 # Dots and hyphens that look the same.
-LOOKALIKES |= {"‐": "-", "‑": "-", "‒": "-", "−": "-", "・": "·", "•": "·", "‧": "·", "⋅": "·", "∙": "·"}
+ALIKE = LOOKALIKES | {"‐": "-", "‑": "-", "‒": "-", "−": "-", "・": "·", "•": "·", "‧": "·", "⋅": "·", "∙": "·"}
 #: Compatibility forms one can tell from the plain characters.
 VISIBLE_FORMS = ("<super>", "<sub>", "<circle>", "<fraction>")
 #: Characters without a look of their own, beside the format characters.
@@ -56,7 +50,7 @@ def _fold(c: str) -> str:
         whole = "".join(_fold(chr(int(p, 16))) for p in parts)
         # spacing accents decompose into a space and a mark; they are seen as characters of their own
         return c if whole[:1] == " " and c != " " and len(whole) > 1 else whole
-    return LOOKALIKES.get(c, c)
+    return ALIKE.get(c, c)
 
 
 @lru_cache(maxsize=200_000)
