@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, fusion, language, looks, packing, splitting
+from larkspur.llm import bpe, fusion, language, looks, names, packing, splitting
 from larkspur.session import durable, table
 
 
@@ -40,6 +40,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    known = names.register(table(spark, d, "companies"))
+    said = names.mentions(table(spark, d, "source_documents"), table(spark, d, "multiturn_query_rewrite"), table(spark, d, "query_requests"))
+    return names.link(said, known)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    links = p5_links(spark, d).select("place", "ref_id", "mention", F.explode("company_ids").alias("company_id"))
+    # the register is of a fixed size, checked where it is read above
+    registered = F.broadcast(table(spark, d, "companies").select("company_id", "company").distinct())
+    return links.join(registered, "company_id").where(~F.contains("mention", "company")).select("place", "ref_id", "company_id").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), bpe.vocabulary(spark))
 
@@ -59,7 +72,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(p9_languages(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p4_canonical, p4_found, p7_ids, p8_containers, p9_languages, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p4_canonical, p4_found, p5_links, p5_found, p7_ids, p8_containers, p9_languages, p9_found)}
 
 SQL = {
     "p1_fused": r"""
