@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import units
+from larkspur.plans import retrieval, units
 
-QUERIES: dict = {**units.QUERIES}
-SQL: dict = {**units.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **units.QUERIES}
+SQL: dict = {**retrieval.SQL, **units.SQL}
