@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,35 @@ SHORTEST = 4
 LIMIT = 200_000
 
 
+class AliasFinder:
+    """All aliases in a text in one pass, whatever their number."""
+
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.automaton = ahocorasick.Automaton()
+        for alias, company in rows:
+            self.automaton.add_word(alias, (len(alias), company))
+        if rows:
+            self.automaton.make_automaton()
+        self.any = bool(rows)
+
+    def companies(self, text: str | None) -> list[str]:
+        """Companies named, the one with the longest alias first, then by name."""
+        best: dict[str, int] = {}
+        if text and self.any:
+            for _, (n, company) in self.automaton.iter(text.lower()):
+                best[company] = max(n, best.get(company, 0))
+        return sorted(best, key=lambda c: (-best[c], c))
+
+    def without(self, text: str) -> str:
+        """The text without its aliases, the longest of overlapping ones first."""
+        found = sorted(((n, end - n + 1) for end, (n, _) in self.automaton.iter(text.lower())), key=lambda x: (-x[0], x[1])) if self.any else []
+        gone = bytearray(len(text))
+        for n, at in found:
+            if not any(gone[at : at + n]):
+                gone[at : at + n] = b"\x01" * n
+        return "".join(c for c, g in zip(text, gone, strict=False) if not g)
+
+
 def aliases(companies: DataFrame) -> DataFrame:
     """(alias, company): full name, given aliases and the name without a legal form, in lower case, of 4 characters or more.
 
@@ -40,15 +70,11 @@ def mentioned(texts: DataFrame, known: DataFrame, key: str, text: str) -> DataFr
     table = spark.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sorted(table.value, key=lambda r: -len(r[0]))
+        finder = AliasFinder(table.value)
         for batch in batches:
             keys, names, places = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                low, best = (t or "").lower(), {}
-                for alias, company in known:
-                    if alias in low:
-                        best.setdefault(company, len(alias))
-                for i, c in enumerate(sorted(best, key=lambda c: (-best[c], c)), 1):
+                for i, c in enumerate(finder.companies(t), 1):
                     keys.append(k)
                     names.append(c)
                     places.append(i)
