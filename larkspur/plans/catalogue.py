@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import corpus, evaluation, retrieval, units
+from larkspur.plans import corpus, dialogue, evaluation, retrieval, units
 
-QUERIES: dict = {**retrieval.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **units.QUERIES}
-SQL: dict = {**retrieval.SQL, **corpus.SQL, **evaluation.SQL, **units.SQL}
+QUERIES: dict = {**retrieval.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **dialogue.QUERIES, **units.QUERIES}
+SQL: dict = {**retrieval.SQL, **corpus.SQL, **evaluation.SQL, **dialogue.SQL, **units.SQL}
