@@ -10,13 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import bm25_tokens, space_tokens
+from larkspur.session import workers
 
 # The defaults of BM25 Okapi.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Query terms that may be sent to all executors, some 30 MB.
+BROADCAST_TERMS = 300_000
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content", tokenizer: str = "char-bigram", group: str | None = None) -> DataFrame:
-    """(group, key, token, tf, dl): term frequencies, with the length of the chunk beside them, so that no join has to bring it."""
+    """(group, key, token, tf, dl): term frequencies, with the length of the chunk beside them, so that no join has to bring it.
+
+    Chunks are partitioned by key before their tokens are told apart: the shuffle carries texts once, the counting needs none, and a
+    chunk's postings stay together.
+    """
+    chunks = chunks.repartition(workers(chunks), key)
     split = bm25_tokens if tokenizer == "char-bigram" else space_tokens
     by = [group] if group else []
     flat = chunks.select(*by, F.col(key), split(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).select(*by, key, F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("token"))
@@ -68,9 +76,12 @@ def search(
     """(query, key, score, rank) of the k best chunks with a positive score of each query.
 
     scope (query, company) limits a query to companies' chunks, chunk_scope (key, company) says whose a chunk is; a query
-    without scope sees all chunks. Rows are summed map-side before the shuffle by (query, chunk).
+    without scope sees all chunks. The terms of a stated query set that is small enough, which is counted, go to the postings, where
+    a chunk's scores are complete before the shuffle; those of a larger one are joined by token.
     """
     terms = query_terms(queries, query).join(stats.select("token", "idf"), "token")
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
     scored = (
         terms.join(posted, "token")
         .groupBy(query, key)

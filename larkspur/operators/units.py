@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.quantities import Quantity, bare_number, currency_code, quantities
 from larkspur.operators.ranking import rank_within
-from larkspur.session import latest
+from larkspur.session import latest, workers
 
 #: Levels of unit changes: powers of ten between units in use, of money, ratios and measures.
 KNOWN_LEVELS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)
@@ -123,22 +123,49 @@ def _read_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 4)), *new], names=["fact_id", "source", "year", "item", "kind", "currency", "recorded", "stated", "unit_size", "level", "differs", "other_currency"])
 
 
-def _segment_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("place", ignore_index=True)
-    y = pdf.level.to_numpy(float)
-    seen = np.flatnonzero(np.isfinite(y))
-    level = np.full(len(y), np.nan)
-    for a, b, v in segments(y[seen]):
-        level[seen[a:b]] = v
-    # a point without a level of its own lies in the segment that holds both its neighbours
-    before, after = pd.Series(level).ffill(), pd.Series(level).bfill()
-    within = np.where(np.isnan(level) & (before == after), before, level)
-    power = np.array([known_level(v) if math.isfinite(v) else 0 for v in within])
-    recorded, stated = pdf.recorded.to_numpy(float), pdf.stated.to_numpy(float)
-    value = np.where(np.isfinite(stated), stated, recorded / 10.0**power)
-    off = pdf.differs.to_numpy(bool) & ~(np.isfinite(y) & (within == 0))
-    status = np.where(pdf.other_currency, "other currency", np.where(off & (power != 0), "unit change", np.where(off, "differs", np.where(np.isfinite(value), "as agreed", "unknown"))))
-    return pd.DataFrame({"fact_id": pdf.fact_id, "item": pdf["item"], "kind": pdf.kind, "currency": pdf.currency, "value": value, "power": power, "status": status, "unit_size": pdf.unit_size})
+def _levels(y: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The level of each point's segment; histories begin at starts. A point without a level takes that of both its neighbours, if they share one."""
+    out = np.full(len(y), np.nan)
+    for a, b in zip(starts, [*starts[1:], len(y)], strict=True):
+        seen = a + np.flatnonzero(np.isfinite(y[a:b]))
+        if not y[seen].any():
+            out[seen] = 0.0
+        else:
+            for i, j, v in segments(y[seen]):
+                out[seen[i:j]] = v
+    history = np.zeros(len(y), np.int64)
+    history[starts] = 1
+    both = pd.Series(out).groupby(history.cumsum())
+    before, after = both.ffill().to_numpy(), both.bfill().to_numpy()
+    return np.where(np.isnan(out) & (before == after), before, out)
+
+
+def _segment_histories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments the histories of a partition sorted by them; what is held is a batch and the history that its end cuts."""
+
+    def done(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        y = pdf.level.to_numpy(float)
+        level = _levels(y, starts)
+        power = np.array([known_level(v) if math.isfinite(v) and v else 0 for v in level], np.int64)
+        recorded, stated = pdf.recorded.to_numpy(float), pdf.stated.to_numpy(float)
+        value = np.where(np.isfinite(stated), stated, recorded / 10.0**power)
+        off = pdf.differs.to_numpy(bool) & ~(np.isfinite(y) & (level == 0))
+        status = np.select([pdf.other_currency.to_numpy(bool), off & (power != 0), off, np.isfinite(value)], ["other currency", "unit change", "differs", "as agreed"], "unknown")
+        return pd.DataFrame({"fact_id": pdf.fact_id, "item": pdf["item"], "kind": pdf.kind, "currency": pdf.currency, "value": value, "power": power, "status": status, "unit_size": pdf.unit_size})
+
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if pdf.empty:
+            continue
+        key = pdf[["source", "item", "block"]]
+        starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+        last = int(starts[-1])
+        if last:
+            yield done(pdf.iloc[:last].reset_index(drop=True), starts[:-1])
+        held = pdf.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield done(held, np.array([0]))
 
 
 def fact_quantities(df: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -146,14 +173,16 @@ def fact_quantities(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
     value is in yuan or dollars, or a plain ratio; power is that of ten by which the record was off and is reversed.
     """
-    once = latest(df.select("fact_id", "company", "report_year", "currency", "metrics", "received_at"), ["fact_id"], "received_at")
+    once = latest(df.select("fact_id", "company", "report_year", "currency", "metrics", "received_at"), ["fact_id"], "received_at", wide=True)
     flat = once.select("fact_id", F.col("company").alias("source"), F.col("report_year").alias("year"), "currency", F.explode("metrics").alias("item", "m"))
     read = flat.select("fact_id", "source", "year", "currency", "item", "m.value", "m.display").mapInArrow(
         _read_facts, "fact_id string, source string, year int, item string, kind string, currency string, recorded double, stated double, unit_size double, level double, differs boolean, other_currency boolean"
     )
     keyed = read.withColumn("source", F.coalesce("source", F.lit("")))
     placed = rank_within(keyed, ["source", "item"], [("year", True), ("fact_id", True)], "place").withColumn("block", F.floor((F.col("place") - 1) / block))
-    return placed.groupBy("source", "item", "block").applyInPandas(_segment_block, "fact_id string, item string, kind string, currency string, value double, power int, status string, unit_size double")
+    history = ["source", "item", "block"]
+    apart = placed.repartition(workers(df), *history).sortWithinPartitions(*history, "place")
+    return apart.mapInPandas(_segment_histories, "fact_id string, item string, kind string, currency string, value double, power int, status string, unit_size double")
 
 
 def _same_kind(a: Quantity, g: Quantity) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import columns as C
 from larkspur.operators import chunking, protocol, rankings
 from larkspur.operators.ranking import rank_within
-from larkspur.session import table
+from larkspur.session import spread, table
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
@@ -23,11 +23,11 @@ def line_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_elements(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.page_elements(table(spark, d, "documents"), ["doc_id"])
+    return chunking.page_elements(spread(table(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def adaptive_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_pages(table(spark, d, "documents").where("text is not null"), chunking.ChunkConfig(), ["doc_id", "source", "page_number"])
+    return chunking.chunk_pages(spread(table(spark, d, "documents").select("doc_id", "source", "page_number", "text").where("text is not null")), chunking.ChunkConfig(), ["doc_id", "source", "page_number"])
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -38,6 +38,18 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def workers(df: DataFrame) -> int:
+    """Partitions that keep all cores busy: the shuffle partitions, which grow with the input, and at least the cores."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores, for costly maps over few files; a larger scan stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table whose size has a fixed bound; an error, never a cut, when the bound does not hold."""
     rows = df.limit(limit + 1).collect()
@@ -46,13 +58,18 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row per key, the one delivered last; equal deliveries give one row. Partial maxima are formed before the shuffle."""
+def latest(df: DataFrame, keys: list[str], by: str, wide: bool = False) -> DataFrame:
+    """One row per key, the one delivered last; equal deliveries give one row. Partial maxima are formed before the shuffle.
+
+    wide: rows are spread over all cores whatever their size, for costly maps that follow.
+    """
     from pyspark.sql import functions as F
 
     rest = [c for c in df.columns if c not in keys]
     order = [by, *[c for c in rest if c != by]]
     types = dict(df.dtypes)
     plain = [c for c in order if not types[c].startswith("map")]
+    if wide:
+        df = df.repartition(workers(df), *keys)
     picked = F.max_by(F.struct(*rest), F.struct(*plain)).alias("_row")
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
