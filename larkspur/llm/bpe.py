@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import spread
+
 DEFAULT_VOCABULARY = os.environ.get("LARKSPUR_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: How the published vocabulary cuts a text before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -176,7 +178,7 @@ def vocabulary(spark: SparkSession, path: str = DEFAULT_VOCABULARY, limit: int =
 
 
 def encode_corpus(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: str = "text", sizes_only: bool = False) -> DataFrame:
-    """(key, ids ARRAY<INT>) of each row, or (key, n_tokens INT). A narrow map: no shuffle, no row left out."""
+    """(key, ids ARRAY<INT>) of each row, or (key, n_tokens INT). A map of each row: no row left out."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +198,4 @@ def encode_corpus(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: st
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), value], names=[key, "n_tokens" if sizes_only else "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ("n_tokens int" if sizes_only else "ids array<int>"))
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, f"`{key}` {kind}, " + ("n_tokens int" if sizes_only else "ids array<int>"))

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import bounded_collect
+from larkspur.session import bounded_collect, spread
 
 LANGUAGES = ("zh", "en", "de", "fr", "es", "ja")
 # What labels call each language, in lower case and without region.
@@ -154,7 +154,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
         cols = list(zip(*total.values(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), *[pa.array(c, pa.int32()) for c in cols]], names=["h", *LANGUAGES])
 
-    partial = rows.where(keep & F.col("t").isNotNull()).select("t", "l").mapInArrow(count, "h bigint, " + ", ".join(f"{c} int" for c in LANGUAGES))
+    partial = spread(rows.where(keep & F.col("t").isNotNull()).select("t", "l")).mapInArrow(count, "h bigint, " + ", ".join(f"{c} int" for c in LANGUAGES))
     summed = partial.groupBy("h").agg(*[F.sum(c).alias(c) for c in LANGUAGES])
     often = F.greatest(*[F.col(c) for c in LANGUAGES]) >= FEWEST
     # the sample bounds this; hash 0 carries the numbers of documents
@@ -268,7 +268,7 @@ SCHEMA = "language string, confidence double, languages array<string>, segments
 
 
 def identify(df: DataFrame, filters: Broadcast, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """(key, label, language, confidence, languages, segments) of each row. A narrow map."""
+    """(key, label, language, confidence, languages, segments) of each row."""
     kind = df.schema[key].dataType.simpleString()
     segment = pa.list_(pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
 
@@ -292,7 +292,7 @@ def identify(df: DataFrame, filters: Broadcast, key: str = "doc_id", text: str =
                 )
                 at = to
 
-    return df.select(F.col(key), label_language(F.col(label)).alias("label"), F.col(text)).mapInArrow(run, f"`{key}` {kind}, label string, {SCHEMA}")
+    return spread(df.select(F.col(key), label_language(F.col(label)).alias("label"), F.col(text))).mapInArrow(run, f"`{key}` {kind}, label string, {SCHEMA}")
 
 
 def found(identified: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -136,7 +136,7 @@ def split_elements(df: DataFrame, configs: DataFrame, key: str = "element_id", t
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(kind_of.isin(*KINDS), kind_of).otherwise("text").alias("kind"), *([F.col(by).alias("_by")] if by else []))
     rows = rows.where(F.col("key").isNotNull())
     if by:
-        rows = latest(rows, ["key"], "_by").drop("_by")
+        rows = latest(rows, ["key"], "_by", wide=True).drop("_by")
     type_ = df.schema[key].dataType.simpleString()
     out = "config_id int, key {}, piece_no int, n_pieces int, text string, kind string, start_char int, end_char int, n_tokens int, overlap_tokens int, cut string".format(type_)
     names = [f.split()[0] for f in out.split(", ")]
