@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from larkspur.functions.columns import company_from_filename, is_blank
 
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "chunk_id bigint, content string, metadata struct<company:string, source_file:string, page:int, start_index:int, chunk_strategy:string, chunk_max_tokens:int, chunk_token_count:int,"
     " chunk_char_count:int, chunk_element_count:int, chunk_element_types:array<string>, chunk_overlap_tokens:int, chunk_index_on_page:int>"
 )
-FACTS = T.MapType(T.StringType(), T.StructType.fromDDL("report_year int, currency string, source_file string, page_number int, metrics map<string, struct<value:string, display:string>>"))
+FACTS = "companies map<string, struct<report_year:int, currency:string, source_file:string, page_number:int, metrics:map<string, struct<value:string, display:string>>>>"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,8 +31,8 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType | str
     lines = spark.read.text(path).where(~is_blank(F.col("value"))).select("value", F.input_file_name().alias("file"))
     parsed = lines.withColumn("r", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     message = F.concat(F.col("file"), F.lit(": invalid JSON: "), F.substring("value", 1, 200))
-    checked = parsed.withColumn("ok", F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), F.raise_error(message)).otherwise(F.lit(True).cast("void")))
-    return checked.where(F.col("ok").isNull()).select([F.col(f"r.{f.name}").alias(f.name) for f in kind.fields])
+    good = F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), F.raise_error(message)).otherwise(F.lit(True))
+    return parsed.where(good).select([F.col(f"r.{f.name}").alias(f.name) for f in kind.fields])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -56,7 +56,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Facts of a file {"companies": {name: {...}}}, one row for each company."""
-    whole = spark.read.schema(T.StructType([T.StructField("companies", FACTS)])).option("multiLine", True).json(path)
+    whole = spark.read.schema(FACTS).option("multiLine", True).json(path)
     return whole.select(F.explode("companies").alias("company", "f")).select("company", "f.*")
 
 
