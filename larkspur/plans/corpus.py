@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
-from larkspur.operators import chunking, protocol, rankings
+from larkspur.operators import chunking, protocol, rankings, sweep
 from larkspur.operators.ranking import rank_within
 from larkspur.session import spread, table
 
@@ -36,6 +36,11 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(tokens), 6).alias("mean"), F.percentile(tokens, F.lit(0.95)).alias("p95"), F.max(tokens).cast("bigint").alias("most"), F.round(F.avg((F.col("overlap_tokens") == 0).cast("double")), 6).alias("without_overlap"))
 
 
+def chunk_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk statistics of every point of the declared grid."""
+    return sweep.chunk_statistics(spread(table(spark, d, "documents").select("doc_id", "text").where("text is not null")), sweep.grid())
+
+
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     cut = table(spark, d, "documents").select("doc_id", F.explode(chunking.fixed_windows(F.col("text"))).alias("w"))
     return cut.select("doc_id", F.col("w.start_index").cast("bigint").alias("start_index"), F.length("w.content").alias("n_chars"))
@@ -82,7 +87,7 @@ def third_row_split(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_estimate, line_flags, sentence_elements, adaptive_chunks, chunk_stats, fixed_chunks, build_index, companies_from_files, report_years, topic_counts, normal_forms, manifest_hash, third_row_split)
+    for f in (token_estimate, line_flags, sentence_elements, adaptive_chunks, chunk_stats, chunk_sweep, fixed_chunks, build_index, companies_from_files, report_years, topic_counts, normal_forms, manifest_hash, third_row_split)
 }
 
 _S = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"

@@ -46,7 +46,7 @@ def _companies_of(spark: SparkSession, d: str) -> DataFrame:
 def boundary_reason(spark: SparkSession, d: str) -> DataFrame:
     """Requests a static report can't answer; the years covered are those in the texts of the named companies' files."""
     asked = _companies_of(spark, d)
-    covered = chunks(spark, d).where("company is not null").select("company", F.explode(F.array_distinct(C.years(F.coalesce("content", F.lit(""))))).alias("year")).distinct()
+    covered = chunks(spark, d, "company", "content").where("company is not null").select("company", F.explode(F.array_distinct(C.years(F.coalesce("content", F.lit(""))))).alias("year")).distinct()
     years_of = asked.select("run_id", F.explode("companies").alias("company")).join(covered, "company").groupBy("run_id").agg(F.collect_set("year").alias("report_years"))
     j = asked.join(years_of, "run_id", "left")
     known = F.when(F.size("companies") > 0, F.coalesce("report_years", F.array().cast("array<string>")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import columns as C
-from larkspur.operators import grounding, metrics, protocol, rankings
+from larkspur.operators import grounding, metrics, protocol, rankings, responses
 from larkspur.plans.retrieval import CH, VOTES, chunks, labels, votes
 from larkspur.session import table
 
@@ -15,7 +15,7 @@ KS = (1, 3, 5, 10)
 
 def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unique pages of each run and method, graded pages of each query, and the runs with any grade."""
-    place = chunks(spark, d).select("chunk_id", "source_file", "page_number").where("source_file is not null and page_number is not null")
+    place = chunks(spark, d, "source_file", "page_number").where("source_file is not null and page_number is not null")
     gold = labels(spark, d).join(place, "chunk_id").groupBy("query_id", "source_file", "page_number").agg(F.max("grade").alias("grade"))
     judged = gold.select("query_id").distinct()
     ranked = rankings.unique_pages(votes(spark, d).join(judged, "query_id", "left_semi").join(place, "chunk_id"), ["method", "run_id", "query_id"], ["source_file", "page_number"])
@@ -82,6 +82,13 @@ def latency_by_route(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.latency_statistics(table(spark, d, "events"), ["event_type"], "value"), "mean", "p50", "p95")
 
 
+def service_performance(spark: SparkSession, d: str) -> DataFrame:
+    """Requests, errors and latency by user, events read as requests: errors are events of that type, every seventh of them a timeout."""
+    bad = F.col("event_type") == "error"
+    rows = table(spark, d, "events").select("user_id", F.col("value").alias("latency_seconds"), F.when(bad, "failed").alias("error"), F.when(bad & (F.col("event_id") % 7 == 0), "timeout").when(bad, "task_failure").alias("error_type"))
+    return _rounded(responses.performance(rows, ["user_id"]), "error_rate", "timeout_rate", "mean", "p50", "p95", "mean_successful")
+
+
 def stage_latency(spark: SparkSession, d: str) -> DataFrame:
     """Latency of each key of the events' JSON properties."""
     flat = table(spark, d, "events").select("event_type", F.explode(F.from_json("props", "map<string,double>")).alias("stage", "ms"))
@@ -157,7 +164,7 @@ def dataset_violations(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ranking_metrics_k, retrieval_metrics_k, sweep_metrics_k, stage_metrics, refusal_matrix, answer_checks, slot_coverage, latency_by_route, stage_latency, token_cost,
+        ranking_metrics_k, retrieval_metrics_k, sweep_metrics_k, stage_metrics, refusal_matrix, answer_checks, slot_coverage, latency_by_route, service_performance, stage_latency, token_cost,
         paired_lift, win_tie_loss, bootstrap_ci, citation_sets, value_counts, split_integrity, dataset_violations,
     )
 }
@@ -216,6 +223,9 @@ ctx as (select query_id, {_BARE.format("string_agg(t, chr(10) order by t)")} as
 c as (select query_id, len(answer_checks) as n, len(list_filter(answer_checks, lambda g: len(list_filter(g, lambda a: contains(coalesce(context, ''), {_BARE.format('a')}))) > 0)) as covered from cases left join ctx using (query_id) where len(answer_checks) > 0)
 select query_id, round(covered / n, 6) as ratio, covered = n as complete from c""",
     "latency_by_route": "select event_type, count(value) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1",
+    "service_performance": """select user_id, count(*) as requests, count(case when event_type = 'error' then 1 end) as errors, round(count(case when event_type = 'error' then 1 end) / count(*), 6) as error_rate,
+ round(count(case when event_type = 'error' and event_id % 7 = 0 then 1 end) / count(*), 6) as timeout_rate, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95,
+ round(avg(case when event_type <> 'error' then value end), 6) as mean_successful from events group by 1""",
     "stage_latency": "with e as (select unnest(map_entries(from_json(props, '\"MAP(VARCHAR, DOUBLE)\"'))) as s from events) select s.key as stage, count(s.value) as n, round(avg(s.value), 6) as mean, round(quantile_cont(s.value, 0.5), 6) as p50, round(quantile_cont(s.value, 0.95), 6) as p95 from e group by 1",
     "token_cost": """with r as (select event_type, (props->>'k')::bigint as p, case when event_type <> 'error' then event_id % 97 end as c from events),
 s as (select event_type, sum(case when c is not null and p is not null and p >= 0 then p end)::bigint as prompt_tokens, sum(case when c is not null and p is not null and p >= 0 then c end)::bigint as completion_tokens, sum(case when p >= 0 then p + c end)::bigint as total_tokens, count_if(c is not null and p is not null and p >= 0) as measured_queries, count(*) as total_queries from r group by 1)

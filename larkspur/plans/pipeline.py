@@ -36,7 +36,7 @@ def answer_batch(spark: SparkSession, d: str, top_n: int = 3, generate: Callable
     known = scope.aliases(table(spark, d, "companies"))
     named = scope.mentioned(asked, known, "run_id", "question")
     listed = named.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "company"))), lambda x: x["company"]).alias("companies"))
-    corpus = chunks(spark, d)
+    corpus = chunks(spark, d, "company", "source_file", "page_number", "start_index", "content")
     covered = corpus.where("company is not null").select("company", F.explode(F.array_distinct(C.years(F.coalesce("content", F.lit(""))))).alias("year")).distinct()
     years_of = named.join(covered, "company").groupBy("run_id").agg(F.collect_set("year").alias("report_years"))
     rows = asked.join(listed, "run_id", "left").join(years_of, "run_id", "left")
@@ -49,7 +49,7 @@ def answer_batch(spark: SparkSession, d: str, top_n: int = 3, generate: Callable
     exact = durable(finance.answers(open_.select(F.col("run_id").alias("query_id"), "question", "companies"), facts).withColumnRenamed("query_id", "run_id"))
     left = open_.join(exact.select("run_id"), "run_id", "left_anti")
 
-    place = corpus.select("chunk_id", "company", "source_file", "page_number").where("source_file is not null and page_number is not null")
+    place = chunks(spark, d, "company", "source_file", "page_number").where("source_file is not null and page_number is not null")
     cast = votes(spark, d).where("method in ('dense', 'bm25')").join(left.select("run_id"), "run_id", "left_semi")
     fused = rankings.weighted_rrf(cast, {"dense": 2.0, "bm25": 1.0}).join(place, "chunk_id")
     required = left.select("run_id", F.posexplode("companies").alias("place", "company"))

@@ -13,9 +13,9 @@ from larkspur.session import durable, latest, table
 EVERY = 20
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the corpus, one row each, as last delivered."""
-    return latest(table(spark, d, "source_documents"), ["chunk_id"], "received_at").drop("received_at", "indexed_at")
+def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The named columns of the corpus' chunks, one row each, as last delivered; others, texts above all, are neither read nor shuffled."""
+    return latest(table(spark, d, "source_documents").select("chunk_id", *columns, "received_at"), ["chunk_id"], "received_at").drop("received_at")
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
@@ -24,14 +24,14 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str):
-    corpus = chunks(spark, d)
-    posted = durable(bm25.postings(corpus))
+    corpus = chunks(spark, d, "content", "company")
+    posted = durable(bm25.postings(corpus.select("chunk_id", "content")))
     n, avgdl = bm25.corpus_size(corpus).first()
     return corpus, posted, n, avgdl
 
 
 def token_df(spark: SparkSession, d: str) -> DataFrame:
-    posted = bm25.postings(chunks(spark, d))
+    posted = bm25.postings(chunks(spark, d, "content"))
     return bm25.document_frequencies(posted)
 
 
@@ -111,7 +111,7 @@ def config_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paged(spark: SparkSession, d: str) -> DataFrame:
-    place = chunks(spark, d).select("chunk_id", "source_file", "page_number", "company").where("source_file is not null and page_number is not null")
+    place = chunks(spark, d, "source_file", "page_number", "company").where("source_file is not null and page_number is not null")
     return rrf_fusion(spark, d).join(place, "chunk_id")
 
 
@@ -127,7 +127,7 @@ def diverse_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_expand(spark: SparkSession, d: str) -> DataFrame:
-    corpus = chunks(spark, d)
+    corpus = chunks(spark, d, "source_file", "page_number", "start_index", "content")
     top = rrf_fusion(spark, d).where("rank <= 3").select("run_id", "chunk_id", "rank")
     text = corpus.select("chunk_id", "source_file", "page_number", "content")
     grown = rankings.expand_pages(top.join(text, "chunk_id"), rankings.page_texts(corpus))
@@ -136,7 +136,7 @@ def page_expand(spark: SparkSession, d: str) -> DataFrame:
 
 def local_rerank(spark: SparkSession, d: str) -> DataFrame:
     asked = requests(spark, d).groupBy("run_id").agg(F.min("question").alias("question"))
-    text = chunks(spark, d).select("chunk_id", "content")
+    text = chunks(spark, d, "content")
     candidates = rrf_fusion(spark, d).select("run_id", "chunk_id").join(asked, "run_id").join(text, "chunk_id")
     scored = bm25.rerank(candidates, query="run_id")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "chunk_id"))).select("run_id", "chunk_id", "score", "rank")
@@ -159,7 +159,7 @@ def dedupe_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 def debug_items(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat_ws("|", *[c.cast("string") for c in rankings.chunk_identity()])
-    items = rrf_fusion(spark, d).where("rank <= 5").join(chunks(spark, d), "chunk_id")
+    items = rrf_fusion(spark, d).where("rank <= 5").join(chunks(spark, d, "company", "source_file", "page_number", "start_index", "content"), "chunk_id")
     return items.select("run_id", "rank", "score", F.coalesce("company", F.lit("未知公司")).alias("company"), "source_file", F.coalesce(F.col("page_number"), F.lit(0)).alias("page_number"), F.substring(F.sha2(key, 256), 1, 16).alias("item_id"))
 
 
