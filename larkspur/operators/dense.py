@@ -26,8 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _blocks(df: DataFrame, key: str, vector: str, side: str, n: int) -> DataFrame:
-    """Rows grouped by a hash of their key into n blocks of about BLOCK vectors."""
-    spread = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{side}_block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("r"))
+    """Rows grouped by a hash of their key and place into n blocks of about BLOCK vectors; a key that comes often lies in many."""
+    spread = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(n)).alias(f"{side}_block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("r"))
     return spread.groupBy(f"{side}_block").agg(F.collect_list("r").alias(side))
 
 

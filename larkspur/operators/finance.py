@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import any_contains, years
@@ -111,6 +111,7 @@ def answers(questions: DataFrame, facts: DataFrame, key: str = "query_id", quest
 
 
 def newest_facts(facts: DataFrame) -> DataFrame:
-    """The facts of each company's newest report, the last recorded of several."""
-    order = Window.partitionBy("company").orderBy(F.desc("report_year"), F.desc("recorded_at"), F.desc("fact_id"))
-    return facts.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The facts of each company's newest report, the last recorded of several. Maxima are formed before the shuffle, however many facts a company has."""
+    rest = [c for c in facts.columns if c != "company"]
+    best = facts.groupBy("company").agg(F.max_by(F.struct(*rest), F.struct("report_year", "recorded_at", "fact_id")).alias("_f"))
+    return best.select("company", *[F.col(f"_f.{c}").alias(c) for c in rest])

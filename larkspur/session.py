@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,17 +60,14 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
 
 
 def latest(df: DataFrame, keys: list[str], by: str, wide: bool = False) -> DataFrame:
-    """One row per key, the one delivered last; equal deliveries give one row. Partial maxima are formed before the shuffle.
+    """One row per key, the one delivered last; equal deliveries give one row. Partial maxima are formed before the shuffle, so a key delivered any number of times stays small.
 
-    wide: rows are spread over all cores whatever their size, for costly maps that follow.
+    wide: the rows left are spread over all cores whatever their size, for costly maps that follow.
     """
-    from pyspark.sql import functions as F
-
     rest = [c for c in df.columns if c not in keys]
     order = [by, *[c for c in rest if c != by]]
     types = dict(df.dtypes)
     plain = [c for c in order if not types[c].startswith("map")]
-    if wide:
-        df = df.repartition(workers(df), *keys)
     picked = F.max_by(F.struct(*rest), F.struct(*plain)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    once = df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return once.repartition(workers(df), *keys) if wide else once
