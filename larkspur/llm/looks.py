@@ -85,7 +85,8 @@ def _deep(x: object) -> object:
 
 
 def canonical_columns(df: DataFrame, columns: list[str], suffix: str = "_canonical") -> DataFrame:
-    """df with the canonical form of each named column (text, or arrays of text to any depth) beside it. A narrow map."""
+    """df with the canonical form of each named column (text, or arrays of text to any depth) beside it, in place of a column that has its name. A narrow map."""
+    df = df.drop(*[c + suffix for c in columns])
     schema = T.StructType([*df.schema.fields, *[T.StructField(c + suffix, df.schema[c].dataType) for c in columns]])
     where = [df.columns.index(c) for c in columns]
 

@@ -265,7 +265,8 @@ def register(companies: DataFrame) -> Broadcast:
 
 
 def link(mentions: DataFrame, known: Broadcast, text: str = "mention") -> DataFrame:
-    """mentions with company_ids ARRAY<INT>, empty where a text names no company of the register. A narrow map."""
+    """mentions with company_ids ARRAY<INT>, empty where a text names no company of the register, in place of a column of that name. A narrow map."""
+    mentions = mentions.drop("company_ids")
     at = mentions.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
