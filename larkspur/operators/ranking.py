@@ -29,33 +29,33 @@ def rank_within(df: DataFrame, group: list[str], order: list[tuple[str, bool]],
         return df.withColumn(out, number.over(Window.partitionBy(*group).orderBy(*keys)).cast("bigint"))
     keys = [F.col(c).asc_nulls_first() for c in group]
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = durable(df.repartitionByRange(parts, *keys, *by).withColumn("_part", F.spark_partition_id()))
-    local = cut.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*by)).cast("bigint"))
-    counts = cut.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("n"))
-    span = Window.partitionBy("_part")
+    cut = durable(df.repartitionByRange(parts, *keys, *by).withColumn("rank_within_part", F.spark_partition_id()))
+    local = cut.withColumn("rank_within_n", F.row_number().over(Window.partitionBy("rank_within_part", *group).orderBy(*by)).cast("bigint"))
+    counts = cut.groupBy("rank_within_part", *group).agg(F.count(F.lit(1)).alias("n"))
+    span = Window.partitionBy("rank_within_part")
     named = F.struct(*[F.col(c) for c in group])
-    ends = counts.withColumn("_g", named).withColumn("_lo", F.min("_g").over(span)).withColumn("_hi", F.max("_g").over(span))
-    rows = bounded_collect(ends.where("_g = _lo or _g = _hi").select("_part", *group, "n"), 2 * parts, "ends of ranges")
+    ends = counts.withColumn("rank_within_g", named).withColumn("rank_within_lo", F.min("rank_within_g").over(span)).withColumn("rank_within_hi", F.max("rank_within_g").over(span))
+    rows = bounded_collect(ends.where("rank_within_g = rank_within_lo or rank_within_g = rank_within_hi").select("rank_within_part", *group, "n"), 2 * parts, "ends of ranges")
     before: dict[tuple, int] = {}
     offsets = []
-    for r in sorted(rows, key=lambda r: r["_part"]):
+    for r in sorted(rows, key=lambda r: r["rank_within_part"]):
         key = tuple(r[c] for c in group)
         if key in before:
-            offsets.append((r["_part"], key, before[key]))
+            offsets.append((r["rank_within_part"], key, before[key]))
         before[key] = before.get(key, 0) + r["n"]
 
     if offsets:
-        schema = "_part int, " + ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in group) + ", _off bigint"
+        schema = "rank_within_part int, " + ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in group) + ", rank_within_off bigint"
         table = df.sparkSession.createDataFrame([(p, *k, n) for p, k, n in offsets], schema).alias("o")
-        on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group], F.col("l._part") == F.col("o._part"))
+        on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group], F.col("l.rank_within_part") == F.col("o.rank_within_part"))
         # at most one row for each partition
-        local = local.alias("l").join(F.broadcast(table), on, "left").select("l.*", "_off")
+        local = local.alias("l").join(F.broadcast(table), on, "left").select("l.*", "rank_within_off")
     else:
-        local = local.withColumn("_off", F.lit(0))
-    ranked = local.withColumn(out, F.col("_n") + F.coalesce("_off", F.lit(0))).drop("_part", "_n", "_off")
+        local = local.withColumn("rank_within_off", F.lit(0))
+    ranked = local.withColumn(out, F.col("rank_within_n") + F.coalesce("rank_within_off", F.lit(0))).drop("rank_within_part", "rank_within_n", "rank_within_off")
     if not ties:
         return ranked
     value = [*group, *[c for c, _ in order[:-1]]]
-    least = ranked.groupBy(*value).agg(F.min(out).alias("_least")).alias("v")
+    least = ranked.groupBy(*value).agg(F.min(out).alias("rank_within_least")).alias("v")
     on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"v.{c}")) for c in value])
-    return ranked.alias("r").join(least, on).select(*[F.col(f"r.{c}") for c in df.columns], F.col("v._least").alias(out))
+    return ranked.alias("r").join(least, on).select(*[F.col(f"r.{c}") for c in df.columns], F.col("v.rank_within_least").alias(out))

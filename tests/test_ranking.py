@@ -10,9 +10,11 @@ def test_range_path_equals_window(spark):
     df = spark.createDataFrame(rows, "g string, v int, id int")
     order = [("v", False), ("id", True)]
     for ties in (False, True):
-        plain = rank_within(df, ["g"], order, "r", ties=ties)
-        cut = rank_within(df, ["g"], order, "r", ties=ties, hot=100)
-        assert sorted(map(tuple, plain.select("id", "r").collect())) == sorted(map(tuple, cut.select("id", "r").collect()))
+        for out in ("r", "_n"):
+            plain = rank_within(df, ["g"], order, out, ties=ties)
+            cut = rank_within(df, ["g"], order, out, ties=ties, hot=100)
+            assert sorted(plain.columns) == sorted(cut.columns)
+            assert sorted(map(tuple, plain.select("id", out).collect())) == sorted(map(tuple, cut.select("id", out).collect()))
 
 
 def test_empty(spark):
