@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.batches import slices
 from larkspur.session import spread
 
 DEFAULT_VOCABULARY = os.environ.get("LARKSPUR_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -141,11 +143,13 @@ class BytePairEncoder:
         """Whether a token is what merging its own bytes gives; a vocabulary may hold tokens no merge reaches."""
         return self.size[token] == 1 or self.halves[token] != (token, token)
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> array:
+        out = array("i")
         if not text:
-            return []
-        cache, out = self.cache, []
-        for word in PIECES.findall(text):
+            return out
+        cache = self.cache
+        for m in PIECES.finditer(text):
+            word = m[0]
             ids = cache.get(word)
             if ids is None:
                 ids = self.encode_piece(word.encode("utf-8", "replace").decode("latin-1"))
@@ -153,7 +157,7 @@ class BytePairEncoder:
                     cache.clear()
                 if len(word) <= 200:
                     cache[word] = ids
-            out += ids
+            out.extend(ids)
         return out
 
 
@@ -184,9 +188,7 @@ def encode_corpus(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocab.value)
         for batch in batches:
-            # small pieces, so that the ids of few texts are held at once
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 lists = [encoder.encode(t) for t in part.column(1).to_pylist()]
                 counts = np.fromiter(map(len, lists), np.int32, len(lists))
                 if sizes_only:
@@ -194,7 +196,7 @@ def encode_corpus(df: DataFrame, vocab: Broadcast, key: str = "doc_id", text: st
                 else:
                     offsets = np.zeros(len(lists) + 1, np.int32)
                     np.cumsum(counts, out=offsets[1:])
-                    flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(offsets[-1]))
+                    flat = np.concatenate([np.frombuffer(ids, np.int32) for ids in lists])
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), value], names=[key, "n_tokens" if sizes_only else "ids"])
 

@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.batches import slices
 from larkspur.session import bounded_collect, spread
 
 LANGUAGES = ("zh", "en", "de", "fr", "es", "ja")
@@ -49,6 +50,8 @@ SAMPLE = 3000
 SHARE = 0.25
 FEWEST = 3
 SLOTS = 1 << 21
+#: Characters whose n-grams are held at once.
+PART = 200_000
 PROBES = 3
 #: Weight of an n-gram by its kind.
 WEIGHTS = np.array([0.0, 0.2, 1.0])
@@ -145,8 +148,11 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
             for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 i = LANGUAGES.index(l)
                 seen[i] += 1
-                h, ok = grams([t])
-                for x in np.unique(h[ok > 0]).view(np.int64).tolist():
+                found = []
+                for at in range(0, len(t), PART):
+                    h, ok = grams([t[at : at + PART]])
+                    found.append(np.unique(h[ok > 0]))
+                for x in np.unique(np.concatenate(found)).view(np.int64).tolist() if found else ():
                     if (row := total.get(x)) is None:
                         row = total[x] = [0] * len(LANGUAGES)
                     row[i] += 1
@@ -175,9 +181,47 @@ def sentences(text: str) -> list[int]:
     return ends
 
 
+def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+    """Texts cut at ends of sentences into parts (text, from, to, ends of sentences), a longer sentence hard, in groups of at most about PART characters."""
+    group: list[tuple[int, int, int, np.ndarray]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        ends = sentences(t) if t else []
+        at = k = 0
+        while at < len(t):
+            to = k
+            while to < len(ends) and ends[to] - at <= PART:
+                to += 1
+            last = ends[to - 1] if to > k else at + PART
+            if size and size + last - at > PART:
+                yield group
+                group, size = [], 0
+            group.append((i, at, last, np.array(ends[k:to] or [last])))
+            size += last - at
+            at, k = last, to
+    if group:
+        yield group
+
+
 def classify(filters: Filters, texts: list[str]) -> list[tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]]:
     """(language, confidence, languages with whole sentences, segments) of each text."""
-    h, ok = grams(texts)
+    measured: list[list[tuple[np.ndarray, ...]]] = [[] for _ in texts]
+    for group in _parts(texts):
+        for (i, at, _, ends), row in zip(group, _measure(filters, [(texts[i][a:b], ends - a) for i, a, b, ends in group]), strict=True):
+            measured[i].append((np.concatenate([[at], ends[:-1]]), ends, *row))
+    out = []
+    for t, rows in zip(texts, measured, strict=True):
+        if not rows:
+            out.append((None, 0.0, [], []))
+        else:
+            starts, ends, n, true = (np.concatenate(x) for x in zip(*rows, strict=True))
+            out.append(_decide(starts, ends, n, true, t))
+    return out
+
+
+def _measure(filters: Filters, parts: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part of text with its ends of sentences: (weight, corrected weight of each language) of every sentence."""
+    h, ok = grams([t for t, _ in parts])
     mask = filters.languages(h)
     # a word and a character weigh about the same
     weight = WEIGHTS[ok]
@@ -187,12 +231,7 @@ def classify(filters: Filters, texts: list[str]) -> list[tuple[str | None, float
     east = np.concatenate([[0], (ok == 2).cumsum()])
     out = []
     at = 0
-    for t in texts:
-        ends = np.array(sentences(t)) if t else np.zeros(0, np.int64)
-        if not len(ends):
-            out.append((None, 0.0, [], []))
-            at += 2
-            continue
+    for t, ends in parts:
         starts = np.concatenate([[0], ends[:-1]])
         n = number[at + ends] - number[at + starts]
         hits = sums[at + ends] - sums[at + starts]
@@ -201,10 +240,9 @@ def classify(filters: Filters, texts: list[str]) -> list[tuple[str | None, float
         two = east[at + ends] - east[at + starts]
         for i in np.flatnonzero((two > 0) & (n - two * WEIGHTS[2] > 0.5)).tolist():
             if (frame := _frame(t[starts[i] : ends[i]])) >= 0:
-                keep = EASTERN if frame else ~EASTERN
-                true[i, ~keep] = 0
+                true[i, ~EASTERN if frame else EASTERN] = 0
                 n[i] = two[i] * WEIGHTS[2] if frame else n[i] - two[i] * WEIGHTS[2]
-        out.append(_decide(starts, ends, n, true, t))
+        out.append((n, true))
         at += len(t) + 2
     return out
 
@@ -275,22 +313,13 @@ def identify(df: DataFrame, filters: Broadcast, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = filters.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            at = 0
-            while at < len(texts):
-                # so many texts at once that arrays over their characters stay small
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 200_000):
-                    size += len(texts[to])
-                    to += 1
-                lang, sure, langs, segs = zip(*classify(model, texts[at:to]), strict=True)
+            for part in slices(batch, 2, PART):
+                lang, sure, langs, segs = zip(*classify(model, [t or "" for t in part.column(2).to_pylist()]), strict=True)
                 rows = [[dict(zip(("start_char", "end_char", "lang", "confidence"), s, strict=True)) for s in x] for x in segs]
-                part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(rows, segment)],
                     names=[key, "label", "language", "confidence", "languages", "segments"],
                 )
-                at = to
 
     return spread(df.select(F.col(key), label_language(F.col(label)).alias("label"), F.col(text))).mapInArrow(run, f"`{key}` {kind}, label string, {SCHEMA}")
 

@@ -18,6 +18,7 @@ deliveries count once, by the last. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -40,26 +41,24 @@ SPACE = re.compile(r"\s+")
 BOUNDARIES = ("sentence", "clause", "space")
 
 
-def units(text: str, whole: int = 16) -> tuple[list[int], list[int], list[int]]:
+def units(text: str, whole: int = 16) -> tuple[array, array, array]:
     """Offset of each counted token; starts and ends of runs that must stay whole.
 
     A run with marks in it counts once and each mark once more. Where a run counts more than `whole`, it may be cut at
     its marks, and then each part of it counts.
     """
-    at: list[int] = []
-    run_from: list[int] = []
-    run_to: list[int] = []
+    at, run_from, run_to = array("i"), array("i"), array("i")
     for m in UNIT.finditer(text):
         at.append(m.start())
         if m[1]:
             marks = [m.start() + x.start() for x in MARK.finditer(m[1])]
             if len(marks) < whole:
-                at += marks
+                at.extend(marks)
                 if m.end() - m.start() > 1:
                     run_from.append(m.start())
                     run_to.append(m.end())
             else:
-                at += [m.start() + x.start() for x in re.finditer(r"[._%-]|[A-Za-z0-9]+", m[1])][1:]
+                at.extend([m.start() + x.start() for x in re.finditer(r"[._%-]|[A-Za-z0-9]+", m[1])][1:])
     return at, run_from, run_to
 
 
@@ -79,7 +78,7 @@ class Splitter:
         if whole != self.whole:
             self.whole = whole
             self.at, self.run_from, self.run_to = units(self.text, whole)
-            self.levels = [[e for e in (m.end() for m in p.finditer(self.text)) if self._inside(e) < 0] for p in (SENTENCE, CLAUSE, SPACE)]
+            self.levels = [array("i", (e for e in (m.end() for m in p.finditer(self.text)) if self._inside(e) < 0)) for p in (SENTENCE, CLAUSE, SPACE)]
 
     def _inside(self, pos: int) -> int:
         """The end of the run that pos lies within, else -1."""

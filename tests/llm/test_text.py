@@ -134,3 +134,23 @@ def test_labels(spark):
     df = spark.createDataFrame([(k,) for k in want] + [(None,)], "l string")
     for r in df.select("l", language.label_language(F.col("l")).alias("x")).collect():
         assert r.x == want.get(r.l)
+
+
+def test_long_texts_are_cut_into_parts(spark, monkeypatch):
+    df = corpus(spark)
+    model = language.fit(df)
+    texts = [r.text for r in df.collect() if r.text] + [SENTENCES["de"][0] * 30 + SENTENCES["ja"][0] * 40 + "字" * 500]
+    whole = language.classify(model.value, texts)
+    monkeypatch.setattr(language, "PART", 300)
+    cut = language.classify(model.value, texts)
+    assert [(a[0], a[2], [s[:3] for s in a[3]]) for a in whole] == [(a[0], a[2], [s[:3] for s in a[3]]) for a in cut]
+
+
+def test_slices(spark):
+    import pyarrow as pa
+
+    from larkspur.functions.batches import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n >= 0 else None for n in (1, 5, -1, 50, 1, 1)])], names=["t"])
+    parts = [p.column(0).to_pylist() for p in slices(batch, 0, 6, 2)]
+    assert [len(p) for p in parts] == [2, 1, 1, 2] and sum(parts, []) == batch.column(0).to_pylist()
