@@ -13,8 +13,8 @@ HAN = r"\x{4e00}-\x{9fff}"
 TERMINAL = r"[。！？；!?]"
 # Terms that name what a finance question asks for, in order.
 TOPICS = (
-    "营业收入 营业总收入 净利润 利润总额 营业利润 总资产 资产总额 总负债 负债总额 负债率 资产负债率 所有者权益 股东权益 现金流 经营活动现金流 研发投入 研发费用 毛利率 同比 增长率"
-).split()
+    "营业收入", "营业总收入", "净利润", "利润总额", "营业利润", "总资产", "资产总额", "总负债", "负债总额", "负债率", "资产负债率", "所有者权益", "股东权益", "现金流", "经营活动现金流", "研发投入", "研发费用", "毛利率", "同比", "增长率",
+)
 
 
 def regexp_count(c: Column, pattern: str) -> Column:
