@@ -70,4 +70,5 @@ def latest(df: DataFrame, keys: list[str], by: str, wide: bool = False) -> DataF
     plain = [c for c in order if not types[c].startswith("map")]
     picked = F.max_by(F.struct(*rest), F.struct(*plain)).alias("_row")
     once = df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return once.repartition(workers(df), *keys) if wide else once
+    # by a hash of the keys: by the keys themselves, the shuffle of the maxima would be taken for it and made small again
+    return once.repartition(workers(df), F.xxhash64(*keys)) if wide else once
