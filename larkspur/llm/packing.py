@@ -130,7 +130,6 @@ def _level(sizes: np.ndarray, window: np.ndarray, total: np.ndarray, capacity: i
     size = np.concatenate([sizes, np.zeros(k, np.int64)])
     where = np.concatenate([window, np.arange(k)])
     todo = np.flatnonzero(total > capacity).tolist()
-    stuck: set[int] = set()
     while todo:
         w = todo.pop()
         over = int(total[w]) - capacity
@@ -149,9 +148,6 @@ def _level(sizes: np.ndarray, window: np.ndarray, total: np.ndarray, capacity: i
                 best = (int(gain[j]), int(d[j]), i, j)
         gain, d, i, j = best
         if gain <= 0:
-            stuck.add(w)
-            if len(stuck) > 8:
-                break
             continue
         other = int(where[j])
         where[i] = other
