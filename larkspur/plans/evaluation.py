@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from larkspur.functions import columns as C
 from larkspur.operators import grounding, metrics, protocol, rankings, responses
 from larkspur.plans.retrieval import CH, VOTES, chunks, labels, votes
-from larkspur.session import table
+from larkspur.session import durable, table
 
 KS = (1, 3, 5, 10)
 
 
 def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Unique pages of each run and method, graded pages of each query, and the runs with any grade."""
+    """Unique pages of each run and method, graded pages of each query, and the runs with any grade; stored, since every measure reads them more than once."""
     place = chunks(spark, d, "source_file", "page_number").where("source_file is not null and page_number is not null")
-    gold = labels(spark, d).join(place, "chunk_id").groupBy("query_id", "source_file", "page_number").agg(F.max("grade").alias("grade"))
+    gold = durable(labels(spark, d).join(place, "chunk_id").groupBy("query_id", "source_file", "page_number").agg(F.max("grade").alias("grade")))
     judged = gold.select("query_id").distinct()
-    ranked = rankings.unique_pages(votes(spark, d).join(judged, "query_id", "left_semi").join(place, "chunk_id"), ["method", "run_id", "query_id"], ["source_file", "page_number"])
+    ranked = durable(rankings.unique_pages(votes(spark, d).join(judged, "query_id", "left_semi").join(place, "chunk_id"), ["method", "run_id", "query_id"], ["source_file", "page_number"]))
     return ranked, gold, ranked.select("method", "run_id", "query_id").distinct()
 
 
