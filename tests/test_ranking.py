@@ -27,3 +27,21 @@ def test_latest_keeps_last_delivery(spark):
     for wide in (False, True):
         assert sorted((r.k, r.v) for r in latest(df, ["k"], "at", wide=wide).collect()) == [(1, "b"), (2, None)]
     assert df.select(F.count("*")).first()[0] == 4
+
+
+def test_code_reaches_workers_once(spark, tmp_path):
+    from larkspur import session
+
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    for _ in range(2):
+        assert session.table(spark, str(tmp_path), "t").count() == 3
+    files = [f for f in spark.sparkContext._python_includes if f.startswith("larkspur-code")]
+    assert len(files) == 1
+
+    def there(batches):
+        import sys
+
+        for b in batches:
+            yield b.assign(id=sum("larkspur-code.zip" in p for p in sys.path))
+
+    assert spark.range(2).mapInPandas(there, "id long").first()[0] >= 1
