@@ -70,14 +70,19 @@ def dense_cosine_max(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("query_id").agg(F.round(F.max(dense.cosine(F.col("qe"), F.col("embedding"))), 6).alias("max_cosine"))
 
 
-def votes(spark: SparkSession, d: str) -> DataFrame:
-    """(run_id, query_id, method, chunk_id, rank): rankings of each run and method, by their finite scores."""
+def scored_votes(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, query_id, method, chunk_id, good, rank): rankings of each run and method, by their finite scores; good is the score, of dense less the distance."""
     name = F.regexp_replace(F.lower(F.trim("method")), r"[\s-]+", "_")
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     rows = table(spark, d, "ranked_documents").where(finite).select("run_id", "query_id", name.alias("method"), "chunk_id", "score")
     good = F.when(F.col("method") == "dense", -F.col("score")).otherwise(F.col("score"))
     once = rows.groupBy("run_id", "query_id", "method", "chunk_id").agg(F.max(good).alias("good"))
-    return rank_within(once, ["run_id", "query_id", "method"], [("good", False), ("chunk_id", True)]).drop("good")
+    return rank_within(once, ["run_id", "query_id", "method"], [("good", False), ("chunk_id", True)])
+
+
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    """(run_id, query_id, method, chunk_id, rank)."""
+    return scored_votes(spark, d).drop("good")
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
