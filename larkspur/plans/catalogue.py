@@ -8,7 +8,7 @@ QUERIES: dict = {**retrieval.QUERIES, **corpus.QUERIES, **evaluation.QUERIES, **
 
 #: Columns whose type the SQL engine widens, and the type they have here.
 TYPES = {
-    **dict.fromkeys(["bm25_topk", "bm25_scoped_topk", "dense_l2_topk", "rrf_fusion", "page_rank", "diverse_pages", "local_rerank", "debug_items"], {"rank": "int"}),
+    **dict.fromkeys(["bm25_topk", "bm25_scoped_topk", "dense_l2_topk", "rrf_fusion", "page_rank", "diverse_pages", "local_rerank", "local_rerank_all", "debug_items"], {"rank": "int"}),
     "companies_mentioned": {"place": "int"},
     "page_expand": {"rank": "int", "n_chars": "int"},
     "line_flags": {"n_table": "bigint", "n_heading": "bigint"},

@@ -139,14 +139,24 @@ def page_expand(spark: SparkSession, d: str) -> DataFrame:
     return grown.select("run_id", "chunk_id", "rank", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
-def local_rerank(spark: SparkSession, d: str) -> DataFrame:
-    asked = requests(spark, d).groupBy("run_id").agg(F.min("question").alias("question"))
+def _reranked(spark: SparkSession, d: str, posed: DataFrame) -> DataFrame:
+    asked = posed.groupBy("run_id").agg(F.min("question").alias("question"))
     text = chunks(spark, d, "content")
     candidates = rrf_fusion(spark, d).select("run_id", "chunk_id").join(asked, "run_id").join(text, "chunk_id")
     scored = bm25.rerank(candidates, query="run_id")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "chunk_id"))).select("run_id", "chunk_id", "score", "rank")
 
 
+def local_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Re-ranked candidates of the stated query set; local_rerank_all has those of every run."""
+    return _reranked(spark, d, requests(spark, d))
+
+
+def local_rerank_all(spark: SparkSession, d: str) -> DataFrame:
+    """Re-ranked candidates of every run with a question."""
+    return _reranked(spark, d, table(spark, d, "query_requests").where("question is not null"))
+
+
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "source_documents").select("chunk_id", "source_file", "page_number", "start_index", "content").distinct()
     return rankings.dedupe_chunks(rows, ["chunk_id"]).select("chunk_id", F.coalesce("page_number", F.lit(0)).alias("page"))
@@ -172,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_df, bm25_topk, bm25_scoped_topk, company_aliases, companies_mentioned, dense_l2_topk, dense_cosine_max, rrf_fusion, rrf_grid, config_select,
-        page_rank, diverse_pages, page_expand, local_rerank, dedupe_first, dedupe_index, dedupe_sweep, debug_items,
+        page_rank, diverse_pages, page_expand, local_rerank, local_rerank_all, dedupe_first, dedupe_index, dedupe_sweep, debug_items,
     )
 }
 
@@ -269,3 +279,4 @@ select run_id, chunk_id, score, row_number() over (partition by run_id order by
  substring(sha256(coalesce(source_file, '') || '|' || coalesce(page_number, 0) || '|' || coalesce(start_index, -1) || '|' || lower(regexp_replace(coalesce(content, ''), '[^\p{L}\p{N}_]', '', 'g'))), 1, 16) as item_id from fused join chunks using (chunk_id) where rank <= 5""",
 }
 SQL["config_select"] = SQL["rrf_grid"].replace("select rrf_k, dense_weight, round(avg", "select rrf_k, dense_weight, ndcg_3, recall_3, map_10 from (select rrf_k, dense_weight, round(avg", 1) + ") order by ndcg_3 desc, recall_3 desc, map_10 desc, rrf_k, dense_weight limit 1"
+SQL["local_rerank_all"] = SQL["local_rerank"].replace("run_id % 20 = 0 and ", "", 1)

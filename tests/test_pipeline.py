@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from larkspur.plans import pipeline
+from larkspur.plans import pipeline, retrieval
 
 AT = datetime(2024, 1, 1)
 LONG = "蓝天旅游有限公司"
@@ -63,3 +63,8 @@ def test_injected_reranker_decides_order_and_gate(spark, folder):
 
     low = answers(pipeline.answer_batch(spark, folder, rerank=lambda df: df.selectExpr("run_id", "chunk_id", "0.01D as score")))
     assert low[1][0] == "insufficient_evidence"
+
+
+def test_rerank_of_every_run(spark, folder):
+    got = retrieval.local_rerank_all(spark, folder).collect()
+    assert {r.run_id for r in got} == {1, 2, 3, 4} and {r.chunk_id for r in got if r.run_id == 1} == {1, 2, 3, 4}
