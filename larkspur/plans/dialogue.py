@@ -9,7 +9,7 @@ from larkspur.functions import columns as C
 from larkspur.operators import conversation, finance, grounding, quality, scope
 from larkspur.plans import pipeline
 from larkspur.plans.retrieval import ALIASES, CH, chunks
-from larkspur.session import latest, table
+from larkspur.session import durable, latest, table
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -31,8 +31,9 @@ def rewrite_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slot_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    acc = conversation.slot_accuracy(conversation.slot_checks(_cases(spark, d), rewrite_query(spark, d)))
-    return acc.withColumn("accuracy", F.round("accuracy", 6))
+    cases, known = _cases(spark, d), scope.aliases(table(spark, d, "companies"))
+    acc = conversation.slot_accuracy(conversation.slot_checks(cases, durable(rewrite_query(spark, d)), known))
+    return acc.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
 
 
 def _companies_of(spark: SparkSession, d: str) -> DataFrame:
