@@ -7,7 +7,8 @@ the logarithm of a known factor marks a change of unit, which is reversed by tha
 read exactly first; comparisons of the segments' members are exact.
 
 A history is cut into blocks of bounded length by its place in the order, so a source that holds a third of all rows
-lies in many tasks. Levels are measured from 0, so a cut between blocks changes none of them.
+lies in many tasks. Levels are measured from 0, so a cut between blocks changes none of them. Only the filling of gaps
+sees a cut: neighbours are those in the block, so a value without a form at the edge of a block stays as recorded.
 
 Defined cases: null, empty or unreadable values and forms give no level and are no case; a value without a form beside
 it takes the factor of its segment if both its neighbours lie in that segment, else stays as recorded. Zero has no
