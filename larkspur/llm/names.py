@@ -12,6 +12,9 @@ by word. Nicknames are looked up as they are.
 Defined cases: null, blank and unknown texts link to none; organisations that are not in the register link to none; a
 text may link to several companies; a registered name links to its company. The register has a fixed, checked size and goes to the executors;
 texts are mapped one by one, and a worker keeps the results of texts it has met. Repeated rows give repeated links.
+
+Limit: windows over Han characters have up to three, and Latin words of fewer than four letters are skipped. Brands of four characters or more
+are at best found as a weak match, slips in longer ones and shorter first words of Latin names never.
 """
 
 from __future__ import annotations
