@@ -6,15 +6,15 @@ tokens beside that piece by optimal assignment, permitting initials, abbreviatio
 The best alignment decides; where two companies of one brand fit equally well, the mention means none.
 
 Names in Han characters have the tokens place, brand, industry and legal form, written without spaces; places and forms
-are taken out first, wherever they stand, and windows over the rest are looked up. Names in Latin letters are taken word
-by word. Nicknames are looked up as they are.
+are taken out first, wherever they stand, and windows over the rest are looked up. How long windows are, and how far to
+look beside one, follows from the register's own brands and industries. Names in Latin letters are taken word by word;
+words of fewer than four letters have to stand exactly, and with a further word of the name or alone. Nicknames and names
+as registered are looked up as they are, the longest of overlapping ones first.
 
 Defined cases: null, blank and unknown texts link to none; organisations that are not in the register link to none; a
-text may link to several companies; a registered name links to its company. The register has a fixed, checked size and goes to the executors;
-texts are mapped one by one, and a worker keeps the results of texts it has met. Repeated rows give repeated links.
-
-Limit: windows over Han characters have up to three, and Latin words of fewer than four letters are skipped. Brands of four characters or more
-are at best found as a weak match, slips in longer ones and shorter first words of Latin names never.
+text may link to several companies; a registered name, Chinese or English, links to its company, whatever the length of its tokens
+(one that two companies share links to none). The register has a fixed, checked size and goes to the executors; texts are mapped
+one by one, and a worker keeps the results of texts it has met. Repeated rows give repeated links.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, islice
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -42,7 +43,11 @@ SIMPLIFIED = str.maketrans(
 # Legal forms and what is said of a seat, also with slips of the pen.
 FORM = re.compile(r"(?:集团|股份)?有?[限现]?(?:责任)?公[司可]|(?:集团|股份)?有[限现](?:责任)?公?|集团|股份|有限责任|责任|总部")
 FORM_WORDS = frozenset("co ltd limited company inc incorporated corp corporation holdings group the plc llc".split())
+# Customary abbreviations that the letters alone would leave open.
+ABBREVIATIONS = {"med": "medical", "mda": "media", "elec": "electronics", "tech": "technology", "edu": "education", "svcs": "services", "mfg": "manufacturing", "intl": "international"}
 REGISTER_LIMIT = 50_000
+#: Letters of a word from which on a slip is allowed.
+SLIP_FROM = 4
 CACHE = 500_000
 NONE = float("inf")
 
@@ -80,10 +85,12 @@ def token_cost(said: str, meant: str) -> float:
     """What it costs to read one token as another: 0 the same, below 1 an abbreviation, 1 a slip; NONE if it can't be."""
     if said == meant:
         return 0.0
-    # initials and abbreviations: the first letter and a part of the others in order
+    if ABBREVIATIONS.get(said) == meant:
+        return 0.3
+    # abbreviations: the first letter and a part of the others in order; likelier with the last one
     it = iter(meant)
     if 2 <= len(said) < len(meant) and said[0] == meant[0] and all(c in it for c in said):
-        return 0.5
+        return 0.45 if said[-1] == meant[-1] else 0.5
     it = iter(meant)
     if len(meant) > 2 and len(said) == len(meant) - 1 and all(c in it for c in said):
         return 0.7
@@ -108,32 +115,81 @@ def assign(said: list[str], meant: tuple[str, ...]) -> tuple[float, int]:
     return min(best.values(), key=lambda x: (x[0], -x[1]))
 
 
+def _clean(text: str) -> str:
+    """Han characters, simplified, letters and digits of a plain text."""
+    return re.sub(r"[^㐀-鿿A-Za-z0-9]", "", text).translate(SIMPLIFIED)
+
+
+class Lookup:
+    """Whole strings in a text, the longest of overlapping ones first; a string of two companies is of none."""
+
+    def __init__(self, names: dict[str, set[int]]):
+        self.automaton = ahocorasick.Automaton()
+        for name, ids in names.items():
+            self.automaton.add_word(name, (len(name), min(ids) if len(ids) == 1 else None))
+        self.any = bool(names)
+        if names:
+            self.automaton.make_automaton()
+
+    def take(self, text: str, keep: int = 0) -> tuple[set[int], str]:
+        """Ids of the strings in a text, and the text with a bar in the place of each, but for `keep` characters at both ends."""
+        out: set[int] = set()
+        if not self.any:
+            return out, text
+        found = sorted(((n, end + 1 - n, i) for end, (n, i) in self.automaton.iter(text)), key=lambda x: (-x[0], x[1]))
+        if not found:
+            return out, text
+        gone = [False] * len(text)
+        for n, at, i in found:
+            if not any(gone[at + keep : at + n - keep]):
+                gone[at + keep : at + n - keep] = [True] * (n - 2 * keep)
+                if i is not None:
+                    out.add(i)
+        return out, "".join(c if not g else "|" for c, g in zip(text, gone, strict=True))
+
+
 class Register:
     def __init__(self, rows: list):
         self.companies: list[Company] = []
         industries = {r["industry"] for r in rows if r["industry"]}
+        full: dict[str, set[int]] = defaultdict(set)
+        english: dict[str, set[int]] = defaultdict(set)
         for r in rows:
-            place, name, industry = r["place"] or "", r["company"], r["industry"] or ""
+            place, name, industry, i = r["place"] or "", r["company"], r["industry"] or "", int(r["company_id"])
             rest = name[len(place) :] if name.startswith(place) else name
-            at = rest.find(industry) if industry else -1
+            at = rest.find(industry, 1) if industry else -1
             brand = rest[:at] if at > 0 else FORM.sub("", rest)
-            words = tuple(w for w in re.findall(r"[a-z]+", (r["english_name"] or "").lower()) if w not in FORM_WORDS)
-            self.companies.append(Company(int(r["company_id"]), brand, industry, place, words, tuple(a for a in r["aliases"] or () if a)))
+            said = re.findall(r"[a-z]+", plain(r["english_name"] or "").lower())
+            words = tuple(w for w in said if w not in FORM_WORDS)
+            self.companies.append(Company(i, _clean(plain(brand)), industry, place, words, tuple(a for a in r["aliases"] or () if a)))
+            if c := _clean(plain(name)):
+                full[c].add(i)
+            if said:
+                english[" " + " ".join(said) + " "].add(i)
         self.industries = sorted(industries, key=len, reverse=True)
         self.places = re.compile("(?:" + "|".join(sorted(map(re.escape, {c.place for c in self.companies if c.place}), key=len, reverse=True)) + ")市?") if any(c.place for c in self.companies) else None
         self.brands: dict[str, list[Company]] = defaultdict(list)
         self.leads: dict[str, list[Company]] = defaultdict(list)
-        self.aliases: dict[str, Company] = {}
+        self.initials: dict[tuple[str, ...], list[Company]] = defaultdict(list)
+        nicknames: dict[str, set[int]] = defaultdict(set)
         for c in self.companies:
             if c.brand:
                 self.brands[c.brand].append(c)
             if c.words:
                 self.leads[c.words[0]].append(c)
+                if len(c.words) > 1:
+                    self.initials[c.words[0][0], *c.words[1:]].append(c)
             for a in c.aliases:
-                self.aliases[a] = c
-        self.alias = re.compile("|".join(sorted(map(re.escape, self.aliases), key=len, reverse=True))) if self.aliases else None
-        self.near_brand, self.near_lead = self._index(self.brands), self._index(self.leads)
+                nicknames[_clean(plain(a))].add(c.id)
+        nicknames.pop("", None)
+        self.full, self.english, self.nicknames = Lookup(full), Lookup(english), Lookup(nicknames)
+        self.near_brand, self.near_lead = self._index(self.brands), self._index(w for w in self.leads if len(w) >= SLIP_FROM)
         self.fields = {c.words[1:] for c in self.companies if len(c.words) > 1}
+        self.most_words = max((len(f) for f in self.fields), default=1)
+        lengths = {len(b) for b in self.brands}
+        # windows as long as a brand first, longer ones before shorter
+        self.windows = sorted(lengths, reverse=True) + sorted({n + k for n in lengths for k in (-1, 1) if n + k > 0} - lengths, reverse=True)
+        self.beside = max(map(len, industries), default=0) + 2
         self.cache: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
@@ -161,22 +217,41 @@ class Register:
 
     def _latin(self, s: str) -> set[int]:
         words = re.findall(r"[a-z]+", s.lower())
-        out = set()
+        if not words:
+            return set()
+        out, left = self.english.take(" " + " ".join(words) + " ", keep=1)
+        words = [w for w in left.split(" ") if w]
+        alone = sum(w not in FORM_WORDS for w in words) == 1
+        # words beside one, legal forms skipped
+        reach = self.most_words + 1
+
+        def after(i: int) -> list[str]:
+            return list(islice((x for x in words[i + 1 : i + 2 + 2 * reach] if x not in FORM_WORDS), reach))
+
+        def before(i: int) -> list[str]:
+            return [x for x in words[max(0, i - 2 * reach) : i] if x not in FORM_WORDS][-self.most_words :]
+
         for i, w in enumerate(words):
-            if len(w) < 4 or w in FORM_WORDS:
+            if w in FORM_WORDS or "|" in w:
                 continue
-            near = {b for d in deletes(w) for b in self.near_lead.get(d, ()) if distance(w, b) <= 1}
-            exact = {b for b in near if b == w}
+            if len(w) == 1:
+                # an initial needs all further words of the name as they are
+                here = {c.id: c for n in range(1, self.most_words + 1) for c in self.initials.get((w, *words[i + 1 : i + 1 + n]), ())}
+                if len(here) == 1:
+                    out |= set(here)
+            if len(w) < SLIP_FROM:
+                exact, near = {w} & self.leads.keys(), set()
+            else:
+                near = {b for d in deletes(w) for b in self.near_lead.get(d, ()) if distance(w, b) <= 1}
+                exact = {b for b in near if b == w}
             for lead in exact or near:
-                # words beside it, legal forms skipped
-                after = [x for x in words[i + 1 : i + 5] if x not in FORM_WORDS][:3]
-                before = [x for x in words[max(0, i - 4) : i] if x not in FORM_WORDS][-2:]
-                if (c := self._choose(self.leads[lead], [before, after], lambda c: c.words[1:], lead == w)) is not None:
+                c = self._choose(self.leads[lead], [after(i), before(i)], lambda c: c.words[1:], len(lead) >= SLIP_FROM or alone)
+                if c is not None:
                     out.add(c.id)
         return out
 
-    def _choose(self, companies: list[Company], sides: list[list[str]], meant, exact: bool) -> Company | None:
-        """The company whose further tokens one side spells best; one without rivals needs no further tokens."""
+    def _choose(self, companies: list[Company], sides: list[list[str]], meant, enough: bool) -> Company | None:
+        """The company whose further tokens one side spells best; one without rivals needs no further tokens if its own is enough."""
         scored = []
         for c in companies:
             tokens = meant(c)
@@ -185,7 +260,7 @@ class Register:
         scored.sort(key=lambda x: x[0])
         if scored[0][0] < NONE:
             return scored[0][1] if len(scored) == 1 or scored[1][0] > scored[0][0] else None
-        if len(companies) > 1:
+        if len(companies) > 1 or not enough:
             return None
         # another field of business named in full is another organisation
         own = meant(companies[0])
@@ -195,48 +270,54 @@ class Register:
     # names in Han characters
 
     def _han(self, s: str) -> set[int]:
-        t = re.sub(r"[^㐀-鿿A-Za-z0-9]", "", s).translate(SIMPLIFIED)
-        out = {self.aliases[m[0]].id for m in self.alias.finditer(t)} if self.alias else set()
+        out, t = self.full.take(_clean(s))
+        if not t:
+            return out
+        nicknamed, _ = self.nicknames.take(t)
+        out |= nicknamed
+        named = set()
         if self.places:
+            named = {m[0].removesuffix("市") for m in self.places.finditer(t)}
             t = self.places.sub("|", t)
         t = FORM.sub("|", t)
-        # both characters of a brand stand together or around one more; then what has but one of them, with its industry
+        # all characters of a brand stand together or around one more; then what lacks one of them, with its industry
         taken = [False] * len(t)
         weak = []
         for i in range(len(t)):
-            for n in (2, 3, 1):
+            for n in self.windows:
                 window = t[i : i + n]
                 if len(window) < n or "|" in window:
                     continue
-                for brand in {b for d in deletes(window) for b in self.near_brand.get(d, ()) if len(b) > 1}:
+                for brand in {b for d in deletes(window) for b in self.near_brand.get(d, ())}:
                     far = distance(window, brand)
-                    if far > 1 or (n == 3 and far and (window[0] not in brand or window[-1] not in brand)):
+                    # a brand of one character has to stand exactly, and a longer window has to begin and end with the brand's characters
+                    if far > 1 or (far and len(brand) == 1) or (n > len(brand) and (window[0] not in brand or window[-1] not in brand)):
                         continue
-                    if far == 0 or (n >= 2 and all(c in window for c in brand)):
+                    if len(brand) > 1 and (far == 0 or (n >= len(brand) and all(c in window for c in brand))):
                         if not any(taken[i : i + n]):
-                            strong = self._industry(t, i, i + n, self.brands[brand], True)
+                            strong = self._industry(t, i, i + n, self.brands[brand], named, True)
                             if strong is not None:
                                 out.add(strong.id)
                             taken[i : i + n] = [True] * n
                     else:
-                        weak.append((n != 2, i, n, brand))
+                        weak.append((n != len(brand), i, n, brand))
         for _, i, n, brand in sorted(weak):
             if not any(taken[i : i + n]):
-                c = self._industry(t, i, i + n, self.brands[brand], False)
+                c = self._industry(t, i, i + n, self.brands[brand], named, False)
                 if c is not None:
                     out.add(c.id)
                     taken[i : i + n] = [True] * n
         return out
 
-    def _industry(self, t: str, i: int, j: int, companies: list[Company], strong: bool) -> Company | None:
-        """The company of a brand whose industry stands beside t[i:j]."""
-        right, left = t[j:].lstrip("|")[:7], t[:i].rstrip("|")[-7:]
-        scored = sorted(((self._beside(right, left, c.industry), c) for c in companies), key=lambda x: x[0])
+    def _industry(self, t: str, i: int, j: int, companies: list[Company], named: set[str], strong: bool) -> Company | None:
+        """The company of a brand whose industry stands beside t[i:j]; of two that fit alike, the one whose place is named."""
+        right, left = t[j:].lstrip("|")[: self.beside], t[:i].rstrip("|")[-self.beside :]
+        scored = sorted(((self._beside(right, left, c.industry), not (c.place and c.place in named), c) for c in companies), key=lambda x: x[:2])
         if scored[0][0] < NONE:
-            if len(scored) > 1 and scored[1][0] == scored[0][0]:
+            if len(scored) > 1 and scored[1][:2] == scored[0][:2]:
                 return None
             if strong or scored[0][0] <= 1:
-                return scored[0][1]
+                return scored[0][2]
             return None
         if len(companies) > 1:
             return None
@@ -244,24 +325,35 @@ class Register:
             other = any(right.startswith(x) or left.endswith(x) for x in self.industries if x != companies[0].industry)
             return None if other else companies[0]
         # a brand with a slip and nothing else but a legal form
-        return companies[0] if j - i == 2 and t.strip("|") == t[i:j] and "|" in t else None
+        alone = t.strip("|") == t[i:j] and "|" in t
+        return companies[0] if alone and j - i > 1 and j - i >= len(companies[0].brand) else None
 
     @staticmethod
     def _beside(right: str, left: str, industry: str) -> float:
-        """Cost of the industry as what follows or precedes, also after one stray character."""
+        """Cost of assigning the industry to one of the pieces that follow or precede, also after one stray character."""
         n = len(industry)
+        if not n:
+            return NONE
         best = NONE
-        for k in range(max(2, n - 2), n + 2):
-            for skip in (0, 1):
-                for piece in (right[skip : skip + k], left[len(left) - k - skip : len(left) - skip] if len(left) >= k + skip else ""):
-                    if len(piece) == k and "|" not in piece:
-                        best = min(best, token_cost(piece, industry) + 0.3 * skip)
+        for skip in (0, 1):
+            pieces = []
+            for k in range(max(2, n - 2), n + 2):
+                pieces += [right[skip : skip + k], left[len(left) - k - skip : len(left) - skip] if len(left) >= k + skip else ""]
+            said = [p for p in pieces if len(p) >= max(2, n - 2) and "|" not in p]
+            cost, matched = _assign_one(tuple(said), industry)
+            if matched:
+                best = min(best, cost + 0.3 * skip)
         # one character left of an industry of two, at the end of the name
         if best == NONE and n == 2 and (right[:2] in (industry[0] + "|", industry[1] + "|") or right in (industry[0], industry[1])):
             best = 1.0
         return best
 
 
+@lru_cache(maxsize=200_000)
+def _assign_one(said: tuple[str, ...], meant: str) -> tuple[float, int]:
+    return assign(list(dict.fromkeys(said)), (meant,))
+
+
 def register(companies: DataFrame) -> Broadcast:
     rows = bounded_collect(companies.where("company_id is not null and company is not null").select("company_id", "company", "english_name", "aliases", "industry", "place").dropDuplicates(["company_id"]), REGISTER_LIMIT, "register of companies")
     return companies.sparkSession.sparkContext.broadcast(Register(sorted(rows, key=lambda r: r["company_id"])))

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm import fusion, names, overlap, questions
@@ -41,6 +43,44 @@ def test_distance_and_assignment():
     assert "bc" in names.deletes("abc") and "abc" in names.deletes("abc")
 
 
+HAN = "昂麒泓锴龙铭瑛禾骞璟玖尧辉茂芙皓跃诺铄曜蓝簇琛振徽缇沅霄宜贤隽萦睿沐贺琳鸢煜霁菱矗浦畅荔锦芸上海新世纪长城东方明珠"
+BRAND = st.text(HAN, min_size=1, max_size=8)
+LEAD = st.text("abcdefghijklmnopqrstuvwxyz", min_size=1, max_size=9)
+ENTRY = st.tuples(BRAND, LEAD, st.sampled_from(["电子", "装备制造", "医疗", "新材料", ""]), st.sampled_from(["Electronics", "New Materials", "Medical", ""]), st.sampled_from([None, "西屏"]), st.sampled_from(["有限公司", "集团股份有限公司"]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ENTRY, min_size=1, max_size=6))
+def test_registered_names_of_any_length_link_to_themselves(entries):
+    rows, seen = [], set()
+    for i, (brand, lead, industry, field, place, form) in enumerate(entries):
+        name, english = f"{place or ''}{brand}{industry}{form}", " ".join(x for x in (lead.title(), field, "Co., Ltd.") if x)
+        if name not in seen and english not in seen:
+            seen |= {name, english}
+            rows.append({"company_id": i, "company": name, "english_name": english, "aliases": None, "industry": industry or None, "place": place})
+    r = names.Register(rows)
+    for row in rows:
+        assert r.link(row["company"]) == r.link(row["english_name"]) == (row["company_id"],)
+        assert row["company_id"] in r.link(f"请问{row['company']}的净利润是多少？") and row["company_id"] in r.link(f"net profit of {row['english_name']} in 2020?")
+
+
+def test_long_brands_short_words_and_initials():
+    rows = [
+        {"company_id": 1, "company": "上海新世纪长城电子有限公司", "english_name": "Newcentury Great Wall Electronics Co., Ltd.", "aliases": None, "industry": "电子", "place": "上海"},
+        {"company_id": 2, "company": "东方明珠传媒股份有限公司", "english_name": "BOE Technology Co., Ltd.", "aliases": [""], "industry": "传媒", "place": None},
+        {"company_id": 3, "company": "骞科技有限公司", "english_name": "TCL Holdings Ltd.", "aliases": None, "industry": "科技", "place": None},
+        {"company_id": 4, "company": "沅霄物流有限公司", "english_name": "Huarong Medical Co., Ltd.", "aliases": None, "industry": "物流", "place": None},
+        {"company_id": 5, "company": "沅霄医疗有限公司", "english_name": "Huarong Media Co., Ltd.", "aliases": None, "industry": "医疗", "place": None},
+    ]
+    r = names.Register(rows)
+    for text, ids in [
+        ("新世纪长城", (1,)), ("新世己长城电子", (1,)), ("电子新世纪长城", (1,)), ("Newcentury Great Wal Electronics", (1,)), ("东方明珠", (2,)), ("东方明株传媒", (2,)), ("东明方珠传媒", (2,)),
+        ("BOE", (2,)), ("boe tech", (2,)), ("the boe constrictor", ()), ("TCL", (3,)), ("TCL Holdings Ltd.", (3,)), ("骞科技", (3,)), ("骞", ()),
+        ("Huarong Med", (4,)), ("Huarong Mda", (5,)), ("H. Medical", (4,)), ("h media", (5,)), ("Q. Media", ()), ("沅霄", ()), ("沅霄物流和沅霄医疗", (4, 5)),
+    ]:
+        assert r.link(text) == ids, text
+
+
 def test_link_table(spark, register):
     df = spark.createDataFrame([("company", "1", "昂麒电子"), ("company", "1", "昂麒电子"), ("slot", "2", None)], "place string, ref_id string, mention string")
     got = names.link(df, register).collect()
