@@ -23,7 +23,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations, islice
+from itertools import islice
 from typing import NamedTuple
 
 import ahocorasick
@@ -61,9 +61,14 @@ class Company(NamedTuple):
     aliases: tuple[str, ...]
 
 
-def deletes(token: str, n: int = 1) -> set[str]:
-    """The token and all it becomes by deleting up to n characters."""
-    return {"".join(token[i] for i in range(len(token)) if i not in gone) for k in range(min(n, len(token) - 1) + 1) for gone in map(set, combinations(range(len(token)), k))}
+def deletes(token: str) -> set[str]:
+    """The token and all it becomes by deleting one character."""
+    return {token, *(token[:i] + token[i + 1 :] for i in range(len(token) if len(token) > 1 else 0))}
+
+
+@lru_cache(maxsize=200_000)
+def _word_deletes(word: str) -> tuple[str, ...]:
+    return tuple(deletes(word))
 
 
 @lru_cache(maxsize=200_000)
@@ -183,6 +188,7 @@ class Register:
                 nicknames[_clean(plain(a))].add(c.id)
         nicknames.pop("", None)
         self.full, self.english, self.nicknames = Lookup(full), Lookup(english), Lookup(nicknames)
+        self.letters = {c for b in self.brands for c in b}
         self.near_brand, self.near_lead = self._index(self.brands), self._index(w for w in self.leads if len(w) >= SLIP_FROM)
         self.fields = {c.words[1:] for c in self.companies if len(c.words) > 1}
         self.most_words = max((len(f) for f in self.fields), default=1)
@@ -242,7 +248,7 @@ class Register:
             if len(w) < SLIP_FROM:
                 exact, near = {w} & self.leads.keys(), set()
             else:
-                near = {b for d in deletes(w) for b in self.near_lead.get(d, ()) if distance(w, b) <= 1}
+                near = {b for d in _word_deletes(w) for b in self.near_lead.get(d, ()) if distance(w, b) <= 1}
                 exact = {b for b in near if b == w}
             for lead in exact or near:
                 c = self._choose(self.leads[lead], [after(i), before(i)], lambda c: c.words[1:], len(lead) >= SLIP_FROM or alone)
@@ -283,10 +289,15 @@ class Register:
         # all characters of a brand stand together or around one more; then what lacks one of them, with its industry
         taken = [False] * len(t)
         weak = []
+        # a window without a character of any brand is none
+        known = [c in self.letters for c in t]
+        longest = max(self.windows, default=0)
         for i in range(len(t)):
+            if True not in known[i : i + longest]:
+                continue
             for n in self.windows:
                 window = t[i : i + n]
-                if len(window) < n or "|" in window:
+                if len(window) < n or "|" in window or True not in known[i : i + n]:
                     continue
                 for brand in {b for d in deletes(window) for b in self.near_brand.get(d, ())}:
                     far = distance(window, brand)
