@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import plain
 from larkspur.session import bounded_collect
 
-# Traditional characters of industries and legal forms, and the simplified ones.
+# Traditional characters of industries, legal forms and questions, and the simplified ones.
 SIMPLIFIED = str.maketrans(
-    "電醫療裝備製農業軟藥傳築諮詢務紡織遊環費運團責飲產資訊險證進際貿設計開發創術網輸機關龍銘華國東慶圖陽銀萬興豐寶誠達順騰飛億衛藍",
-    "电医疗装备制农业软药传筑咨询务纺织游环费运团责饮产资讯险证进际贸设计开发创术网输机关龙铭华国东庆图阳银万兴丰宝诚达顺腾飞亿卫蓝",
+    "電醫療裝備製農業軟藥傳築諮詢務紡織遊環費運團責飲產資訊險證進際貿設計開發創術網輸機關龍銘華國東慶圖陽銀萬興豐寶誠達順騰飛億衛藍"
+    "別錄報數營淨潤總額負債權現賬帳庫餘貨規廠應與為歐門項線級實準問請謝勞駕號選區陸",
+    "电医疗装备制农业软药传筑咨询务纺织游环费运团责饮产资讯险证进际贸设计开发创术网输机关龙铭华国东庆图阳银万兴丰宝诚达顺腾飞亿卫蓝"
+    "别录报数营净润总额负债权现账账库余货规厂应与为欧门项线级实准问请谢劳驾号选区陆",
 )
 # Legal forms and what is said of a seat, also with slips of the pen.
 FORM = re.compile(r"(?:集团|股份)?有?[限现]?(?:责任)?公[司可]|(?:集团|股份)?有[限现](?:责任)?公?|集团|股份|有限责任|责任|总部")
@@ -120,9 +122,17 @@ def assign(said: list[str], meant: tuple[str, ...]) -> tuple[float, int]:
     return min(best.values(), key=lambda x: (x[0], -x[1]))
 
 
+def _bars(m: re.Match) -> str:
+    return "|" * len(m[0])
+
+
+#: Stands in a text for what a caller has taken out; no name goes across it.
+GAP = "\ue000"
+
+
 def _clean(text: str) -> str:
-    """Han characters, simplified, letters and digits of a plain text."""
-    return re.sub(r"[^㐀-鿿A-Za-z0-9]", "", text).translate(SIMPLIFIED)
+    """Han characters, simplified, letters and digits of a plain text; gaps become bars."""
+    return re.sub(r"[^㐀-鿿A-Za-z0-9\ue000]", "", text).translate(SIMPLIFIED).replace(GAP, "|")
 
 
 class Lookup:
@@ -213,48 +223,59 @@ class Register:
         known = self.cache.get(text)
         if known is None:
             s = plain(text)
-            known = tuple(sorted(self._han(s) | self._latin(s)))
+            known = tuple(sorted(self._han(s)[0] | self._latin(s)[0]))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[text] = known
         return known
 
+    def apart(self, text: str, han: bool) -> tuple[set[int], str]:
+        """Ids of the companies a plain text names in one script, and the text without their names: its Han characters, or its words, a bar for what is gone."""
+        return self._han(text) if han else self._latin(text)
+
     # names in Latin letters
 
-    def _latin(self, s: str) -> set[int]:
-        words = re.findall(r"[a-z]+", s.lower())
+    def _latin(self, s: str) -> tuple[set[int], str]:
+        words = re.findall(r"[a-z]+|\d+|\ue000", s.lower())
         if not words:
-            return set()
+            return set(), ""
         out, left = self.english.take(" " + " ".join(words) + " ", keep=1)
         words = [w for w in left.split(" ") if w]
         alone = sum(w not in FORM_WORDS for w in words) == 1
+        gone: set[int] = set()
         # words beside one, legal forms skipped
         reach = self.most_words + 1
 
-        def after(i: int) -> list[str]:
-            return list(islice((x for x in words[i + 1 : i + 2 + 2 * reach] if x not in FORM_WORDS), reach))
+        def after(i: int) -> list[int]:
+            return list(islice((j for j in range(i + 1, min(len(words), i + 2 + 2 * reach)) if words[j] not in FORM_WORDS), reach))
+
+        def before(i: int) -> list[int]:
+            return [j for j in range(max(0, i - 2 * reach), i) if words[j] not in FORM_WORDS][-self.most_words :]
 
-        def before(i: int) -> list[str]:
-            return [x for x in words[max(0, i - 2 * reach) : i] if x not in FORM_WORDS][-self.most_words :]
+        def said(places: list[int]) -> list[str]:
+            return [words[j] for j in places]
 
         for i, w in enumerate(words):
-            if w in FORM_WORDS or "|" in w:
+            if w in FORM_WORDS or not w.isalpha():
                 continue
             if len(w) == 1:
                 # an initial needs all further words of the name as they are
                 here = {c.id: c for n in range(1, self.most_words + 1) for c in self.initials.get((w, *words[i + 1 : i + 1 + n]), ())}
-                if len(here) == 1:
-                    out |= set(here)
+                for c in here.values() if len(here) == 1 else ():
+                    out.add(c.id)
+                    gone.update(range(i, i + len(c.words)))
             if len(w) < SLIP_FROM:
                 exact, near = {w} & self.leads.keys(), set()
             else:
                 near = {b for d in _word_deletes(w) for b in self.near_lead.get(d, ()) if distance(w, b) <= 1}
                 exact = {b for b in near if b == w}
             for lead in exact or near:
-                c = self._choose(self.leads[lead], [after(i), before(i)], lambda c: c.words[1:], len(lead) >= SLIP_FROM or alone)
+                c = self._choose(self.leads[lead], [said(after(i)), said(before(i))], lambda c: c.words[1:], len(lead) >= SLIP_FROM or alone)
                 if c is not None:
                     out.add(c.id)
-        return out
+                    gone.add(i)
+                    gone.update(j for j in (*after(i), *before(i)) if any(token_cost(words[j], m) < NONE for m in c.words[1:]))
+        return out, " ".join("|" if i in gone or w in FORM_WORDS else w for i, w in enumerate(words))
 
     def _choose(self, companies: list[Company], sides: list[list[str]], meant, enough: bool) -> Company | None:
         """The company whose further tokens one side spells best; one without rivals needs no further tokens if its own is enough."""
@@ -275,20 +296,31 @@ class Register:
 
     # names in Han characters
 
-    def _han(self, s: str) -> set[int]:
+    def _han(self, s: str) -> tuple[set[int], str]:
         out, t = self.full.take(_clean(s))
         if not t:
-            return out
-        nicknamed, _ = self.nicknames.take(t)
+            return out, t
+        nicknamed, bare = self.nicknames.take(t)
         out |= nicknamed
         named = set()
         if self.places:
             named = {m[0].removesuffix("市") for m in self.places.finditer(t)}
-            t = self.places.sub("|", t)
-        t = FORM.sub("|", t)
+            t = self.places.sub(_bars, t)
+        t = FORM.sub(_bars, t)
         # all characters of a brand stand together or around one more; then what lacks one of them, with its industry
         taken = [False] * len(t)
+        gone = [c == "|" for c in bare]
         weak = []
+
+        def found(c: Company | None, i: int, n: int) -> None:
+            if c is not None:
+                out.add(c.id)
+                a, b = self._span(t, i, i + n, c.industry)
+                gone[a:b] = [True] * (b - a)
+                # a character said twice, what one character leaves of the industry, and a colloquial ending
+                if b < len(t) and t[b] in t[b - 1] + c.industry + "家":
+                    gone[b] = True
+
         # a window without a character of any brand is none
         known = [c in self.letters for c in t]
         longest = max(self.windows, default=0)
@@ -306,9 +338,7 @@ class Register:
                         continue
                     if len(brand) > 1 and (far == 0 or (n >= len(brand) and all(c in window for c in brand))):
                         if not any(taken[i : i + n]):
-                            strong = self._industry(t, i, i + n, self.brands[brand], named, True)
-                            if strong is not None:
-                                out.add(strong.id)
+                            found(self._industry(t, i, i + n, self.brands[brand], named, True), i, n)
                             taken[i : i + n] = [True] * n
                     else:
                         weak.append((n != len(brand), i, n, brand))
@@ -316,9 +346,22 @@ class Register:
             if not any(taken[i : i + n]):
                 c = self._industry(t, i, i + n, self.brands[brand], named, False)
                 if c is not None:
-                    out.add(c.id)
+                    found(c, i, n)
                     taken[i : i + n] = [True] * n
-        return out
+        return out, "".join("|" if g else c for c, g in zip(t, gone, strict=True))
+
+    def _span(self, t: str, i: int, j: int, industry: str) -> tuple[int, int]:
+        """t[i:j] widened by what stands beside it for the industry."""
+        best = (NONE, 0, i, j)
+        n = len(industry)
+        for skip in (0, 1):
+            right = j + len(t[j:]) - len(t[j:].lstrip("|")) + skip
+            left = len(t[:i].rstrip("|")) - skip
+            for k in range(max(2, n - 2), n + 2) if n else ():
+                for a, b in ((right, right + k), (left - k, left)):
+                    if a >= 0 and b <= len(t) and "|" not in t[a:b] and (cost := token_cost(t[a:b], industry)) < NONE:
+                        best = min(best, (cost + 0.3 * skip, abs(k - n), min(a, i), max(b, j)))
+        return best[2:]
 
     def _industry(self, t: str, i: int, j: int, companies: list[Company], named: set[str], strong: bool) -> Company | None:
         """The company of a brand whose industry stands beside t[i:j]; of two that fit alike, the one whose place is named."""

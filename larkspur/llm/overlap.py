@@ -4,29 +4,39 @@ Method: records are sets of shingles; minwise hashes of a set are cut into bands
 are candidates, only ones of the training side against ones of the evaluation side. Exact Jaccard similarity of the sets
 confirms a candidate, and confirmed pairs are counted by split and source.
 
-Records of one side with the same set are one class and are hashed, joined and compared once; members join their class
-at the end. Buckets are joined by key, never listed against themselves, and a join's hot keys are split at run time.
+Records with the same set are one class, hashed, joined and compared once. The result is the pairs of classes, each with
+a representative and its number of records, beside the membership; members are written out as pairs only where a caller
+asks for that, and counts come from the sizes of classes. Buckets carry classes only and are joined by key, never listed
+against themselves; a join's hot keys are split at run time, and sets are fetched for distinct candidates.
 
-For questions the shingles are their canonical words (see questions), and the similarity must be 1: every thing asked
-counts. For other text the shingles are five words in a row (a Han character is a word) and the similarity 0.8.
+For questions the shingles are the words of their normal text (see questions), a similarity of 0.5 makes a pair, and
+what the two have not in common then has to be explained; the bands find a pair of similarity 0.6 with a probability of
+0.98, one of 0.7 with 0.9999. For other text the shingles are five words in a row (a Han character is a word) and the
+similarity 0.8, which the bands find with 0.9996.
 
 Defined cases: null and blank texts have no shingles and match nothing; texts of fewer words than a shingle are one shingle.
-Splits are read in any case and with outer spaces; a null or other split belongs to no side. Repeated deliveries count once.
+Splits are read in any case and with outer spaces; a null or other split belongs to no side. Repeated deliveries count once;
+a record whose text changed between deliveries is a member of both classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.questions import canonical_words
+from larkspur.llm.questions import question_words, same_question
 from larkspur.session import durable, workers
 
 TRAIN, EVALUATION = ("train",), ("dev", "test")
+#: Similarity, bands and rows of questions, and of other text.
+QUESTIONS, TEXTS = (0.5, 48, 5), (0.8, 20, 5)
 
 
 def split_name(c: Column) -> Column:
@@ -42,63 +52,147 @@ def word_shingles(text: Column, n: int = 5) -> Column:
 
 
 def question_shingles(df: DataFrame, register: Broadcast, text: str = "question") -> DataFrame:
-    """df with shingles ARRAY<STRING>: the canonical words of its questions. A narrow map; workers keep what they have met."""
+    """df with shingles ARRAY<STRING>: the words of its questions' normal text. A narrow map; workers keep what they have met."""
     df = df.drop("shingles")
     at = df.columns.index(text)
-    inner = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    inner = T.StructType([*df.schema.fields, T.StructField("shingles", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         companies = register.value
         for batch in batches:
-            words = pa.array([canonical_words(t, companies) for t in batch.column(at).to_pylist()], pa.list_(pa.string()))
+            words = pa.array([question_words(t, companies) for t in batch.column(at).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, words], schema=pa.schema([*batch.schema, pa.field("shingles", pa.list_(pa.string()))]))
 
-    return df.mapInArrow(run, f"{inner}, shingles array<string>")
+    return df.mapInArrow(run, inner)
 
 
-def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(class, shingles, bucket) for each band; a bucket is the hash of the band's number and its minwise hashes."""
+def signatures(sets: list[np.ndarray] | np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Buckets [band, set] of sets of 64-bit hashes, laid end to end from starts on; none is empty."""
+    h = np.asarray(sets, np.uint64)
+    seeds = np.random.default_rng(20240229).integers(1, 1 << 63, size=bands * rows, dtype=np.uint64)
+    out = np.empty((bands, len(starts)), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(bands):
+            bucket = np.full(len(starts), b + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for r in range(rows):
+                z = (h ^ seeds[b * rows + r]) * np.uint64(0xBF58476D1CE4E5B9)
+                z ^= z >> np.uint64(31)
+                z *= np.uint64(0x94D049BB133111EB)
+                bucket = (bucket ^ np.minimum.reduceat(z, starts)) * np.uint64(0xD6E8FEB86659FD93)
+                bucket ^= bucket >> np.uint64(32)
+            out[b] = bucket
+    return out
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("shingles", lambda s: F.xxhash64(F.lit(seed), s)))
 
-    signed = F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
-    return classes.select("class", "shingles", F.explode(signed).alias("bucket"))
+def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(class, bucket) for each band of classes (class, shingles); a bucket is the hash of the band's number and its minwise hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            sets = batch.column(1)
+            words = sets.flatten().dictionary_encode()
+            for w in words.dictionary.to_pylist():
+                if w not in known:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    known[w] = xxhash.xxh64_intdigest(w)
+            code = np.array([known.get(w) or xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+            sizes = sets.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(sizes):
+                continue
+            found = signatures(code[words.indices.to_numpy(zero_copy_only=False)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), bands, rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sizes) + 1, bands), pa.int32()), pa.array(np.ascontiguousarray(found.T).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["class", "buckets"])
+
+    return classes.select("class", "shingles").mapInArrow(run, "class binary, buckets array<bigint>").select("class", F.explode("buckets").alias("bucket"))
+
+
+def classed(records: DataFrame) -> DataFrame:
+    """records with shingles sorted and class, the digest of their set; records without shingles drop out."""
+    return records.where(F.size("shingles") > 0).withColumn("shingles", F.array_sort(F.array_distinct("shingles"))).withColumn("class", F.unhex(F.md5(F.to_json("shingles"))))
+
+
+def cross_classes(train: DataFrame, evaluation: DataFrame, threshold: float, bands: int, rows: int, explained: Callable[[list[str], list[str]], bool] | None = None) -> DataFrame:
+    """(train_class, eval_class, similarity) of classes (class, shingles, ...) of either side with Jaccard similarity of at least threshold.
+
+    explained: what two sets that differ have to meet besides.
+    """
+    a = train.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    b = evaluation.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    left, right = _buckets(a, bands, rows), _buckets(b, bands, rows)
+    both = left.withColumnRenamed("class", "train_class").join(right.withColumnRenamed("class", "eval_class"), "bucket").select("train_class", "eval_class").distinct()
+    sets = both.join(a.select(F.col("class").alias("train_class"), F.col("shingles").alias("sa")), "train_class").join(b.select(F.col("class").alias("eval_class"), F.col("shingles").alias("sb")), "eval_class")
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = sets.withColumn("similarity", common / (F.size("sa") + F.size("sb") - common)).where(F.col("similarity") >= threshold)
+    if explained is None:
+        return near.select("train_class", "eval_class", "similarity")
 
-def cross_pairs(train: DataFrame, evaluation: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """(train_id, eval_id, similarity, and what else evaluation has) of records (id, shingles, ...) with Jaccard similarity of at least threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [x == y or explained(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
 
-    def classed(df: DataFrame) -> DataFrame:
-        return df.where(F.size("shingles") > 0).withColumn("shingles", F.array_sort(F.array_distinct("shingles"))).withColumn("class", F.sha2(F.to_json("shingles"), 256))
+    return near.select("train_class", "eval_class", "similarity", "sa", "sb").mapInArrow(run, "train_class binary, eval_class binary, similarity double")
 
-    left, right = classed(train), classed(evaluation)
-    a = _buckets(left.groupBy("class").agg(F.first("shingles").alias("shingles")), bands, rows)
-    b = _buckets(right.groupBy("class").agg(F.first("shingles").alias("shingles")), bands, rows)
-    candidates = a.select("bucket", F.col("class").alias("ca"), F.col("shingles").alias("sa")).join(b.select("bucket", F.col("class").alias("cb"), F.col("shingles").alias("sb")), "bucket")
-    common = F.size(F.array_intersect("sa", "sb"))
-    similarity = common / (F.size("sa") + F.size("sb") - common)
-    confirmed = candidates.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("ca", "cb", "similarity").distinct()
-    rest = [c for c in evaluation.columns if c not in ("id", "shingles")]
+
+def cross_pairs(pairs: DataFrame, train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """(train_id, eval_id, similarity, and what else evaluation has): the members of pairs of classes, written out."""
+    rest = [c for c in evaluation.columns if c not in ("id", "shingles", "class")]
     return (
-        confirmed.join(left.select(F.col("class").alias("ca"), F.col("id").alias("train_id")), "ca")
-        .join(right.select(F.col("class").alias("cb"), F.col("id").alias("eval_id"), *rest), "cb")
+        pairs.join(train.select(F.col("class").alias("train_class"), F.col("id").alias("train_id")), "train_class")
+        .join(evaluation.select(F.col("class").alias("eval_class"), F.col("id").alias("eval_id"), *rest), "eval_class")
         .select("train_id", "eval_id", "similarity", *rest)
     )
 
 
-def question_overlaps(test_set: DataFrame, golden: DataFrame, register: Broadcast) -> DataFrame:
-    """(train_id, eval_id, similarity, source, split) of questions of the training split and of evaluation records that ask the same."""
-    rows = test_set.select(F.col("query_id").alias("id"), "question", split_name(F.col("split")).alias("split"), F.lit("test_set_v2").alias("source")).where(F.col("split").isin(*TRAIN, *EVALUATION))
-    every = rows.unionByName(golden.select(F.col("query_id").alias("id"), "question", F.lit(None).cast("string").alias("split"), F.lit("golden_test_set").alias("source"))).where("id is not null")
-    every = every.distinct().repartition(workers(every), "id")
-    # read by both sides, for their classes and for their members; stored, so that no question is taken apart twice
-    shingled = durable(question_shingles(every, register).select("id", "shingles", "source", "split"))
-    train = shingled.where(F.col("split").isin(*TRAIN)).select("id", "shingles")
-    evaluation = shingled.where(~F.coalesce(F.col("split").isin(*TRAIN), F.lit(False)))
-    return cross_pairs(train, evaluation, 1.0, bands=2, rows=6)
+def records(test_set: DataFrame, golden: DataFrame, text: str = "question") -> DataFrame:
+    """(id, text, split, source) of the records of either side, each delivery once; golden has no split."""
+    rows = test_set.select(F.col("query_id").alias("id"), text, split_name(F.col("split")).alias("split"), F.lit("test_set_v2").alias("source")).where(F.col("split").isin(*TRAIN, *EVALUATION))
+    every = rows.unionByName(golden.select(F.col("query_id").alias("id"), text, F.lit(None).cast("string").alias("split"), F.lit("golden_test_set").alias("source"))).where("id is not null")
+    return every.distinct()
+
+
+def sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    train = F.coalesce(F.col("split").isin(*TRAIN), F.lit(False))
+    return members.where(train), members.where(~train)
+
+
+def question_overlaps(test_set: DataFrame, golden: DataFrame, register: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, members (id, source, split, class, shingles)) of questions of the training split and of evaluation records that ask the same."""
+    every = records(test_set, golden)
+    every = every.repartition(workers(every), "id")
+    # read for classes, sets and members; stored, so that no question is taken apart twice
+    members = durable(classed(question_shingles(every, register).select("id", "source", "split", "shingles")))
+    return cross_classes(*sides(members), *QUESTIONS, explained=same_question), members
+
+
+def text_overlaps(test_set: DataFrame, golden: DataFrame, text: str = "question") -> tuple[DataFrame, DataFrame]:
+    """The same for near-copies of texts: runs of five words, similarity of 0.8."""
+    members = durable(classed(records(test_set, golden, text).select("id", "source", "split", word_shingles(F.col(text)).alias("shingles"))))
+    return cross_classes(*sides(members), *TEXTS), members
+
+
+def class_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(source, split, train_class, eval_class, similarity, train_id, eval_id, n_train, n_eval): pairs of classes by the evaluation side's source and split, with representatives and sizes."""
+    train, evaluation = sides(members)
+
+    def sizes(df: DataFrame, side: str, *by: str) -> DataFrame:
+        return df.groupBy(F.col("class").alias(f"{side}_class"), *by).agg(F.min("id").alias(f"{side}_id"), F.count(F.lit(1)).alias(f"n_{side}"))
+
+    joined = pairs.join(sizes(train, "train"), "train_class").join(sizes(evaluation, "eval", "source", "split"), "eval_class")
+    return joined.select("source", "split", F.lower(F.hex("train_class")).alias("train_class"), F.lower(F.hex("eval_class")).alias("eval_class"), "similarity", "train_id", "eval_id", "n_train", "n_eval")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:
-    """Confirmed pairs, and distinct records of either side, by source and split."""
-    return pairs.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"))
+    """Confirmed pairs, and records of either side that are in one, by source and split, from pairs of classes with their sizes."""
+    total = pairs.groupBy("source", "split").agg(F.sum(F.col("n_train") * F.col("n_eval")).alias("n_pairs"))
+
+    def once(side: str) -> DataFrame:
+        return pairs.groupBy("source", "split", f"{side}_class").agg(F.first(f"n_{side}").alias("n")).groupBy("source", "split").agg(F.sum("n").alias(f"n_{side}"))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        b = b.withColumnsRenamed({"source": "_source", "split": "_split"})
+        return a.join(b, (F.col("source") == F.col("_source")) & F.col("split").eqNullSafe(F.col("_split"))).drop("_source", "_split")
+
+    return joined(joined(total, once("eval")), once("train"))

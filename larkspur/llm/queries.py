@@ -21,18 +21,31 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("n_pieces > 1 and piece_no = 0").select("config_id", "element_id")
 
 
-def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     known = names.register(table(spark, d, "companies"))
     return overlap.question_overlaps(table(spark, d, "test_set_v2"), table(spark, d, "golden_test_set"), known)
 
 
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.class_pairs(*_questions(spark, d))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return _questions(spark, d)[1].select("id", "source", "split", F.lower(F.hex("class")).alias("class"), "shingles")
+
+
 def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(p3_pairs(spark, d))
+    return overlap.overlap_report(durable(p3_pairs(spark, d)))
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.class_pairs(*overlap.text_overlaps(table(spark, d, "test_set_v2"), table(spark, d, "golden_test_set")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = p3_pairs(spark, d).where("train_id <> eval_id")
-    return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+    pairs, members = _questions(spark, d)
+    found = overlap.cross_pairs(pairs, *overlap.sides(members)).where("train_id <> eval_id")
+    return found.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +99,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(p9_languages(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p3_pairs, p3_overlaps, p3_found, p4_canonical, p4_found, p5_links, p5_found, p7_ids, p8_containers, p9_languages, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p3_pairs, p3_members, p3_overlaps, p3_texts, p3_found, p4_canonical, p4_found, p5_links, p5_found, p7_ids, p8_containers, p9_languages, p9_found)}
 
 SQL = {
     "p1_fused": r"""
