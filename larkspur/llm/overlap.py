@@ -10,8 +10,9 @@ asks for that, and counts come from the sizes of classes. Buckets carry classes
 against themselves; a join's hot keys are split at run time, and sets are fetched for distinct candidates.
 
 For questions the shingles are the words of their normal text (see questions), a similarity of 0.5 makes a pair, and
-what the two have not in common then has to be explained; the bands find a pair of similarity 0.6 with a probability of
-0.98, one of 0.7 with 0.9999. For other text the shingles are five words in a row (a Han character is a word) and the
+what the two have not in common then has to be explained. Companies, years and names are never explained, so they are the
+question's block: a bucket belongs to one block, and the minwise hashes are those of the other words. The bands find a pair
+whose other words have a similarity of 0.43 (two slips among eight words) with a probability of 0.99, one of 0.6 with 0.9999. For other text the shingles are five words in a row (a Han character is a word) and the
 similarity 0.8, which the bands find with 0.9996.
 
 Defined cases: null and blank texts have no shingles and match nothing; texts of fewer words than a shingle are one shingle.
@@ -31,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.questions import question_words, same_question
+from larkspur.llm.questions import exact, question_words, same_question
 from larkspur.session import durable, workers
 
 TRAIN, EVALUATION = ("train",), ("dev", "test")
 #: Similarity, bands and rows of questions, and of other text.
-QUESTIONS, TEXTS = (0.5, 48, 5), (0.8, 20, 5)
+QUESTIONS, TEXTS = (0.5, 24, 2), (0.8, 20, 5)
 
 
 def split_name(c: Column) -> Column:
@@ -52,16 +53,18 @@ def word_shingles(text: Column, n: int = 5) -> Column:
 
 
 def question_shingles(df: DataFrame, register: Broadcast, text: str = "question") -> DataFrame:
-    """df with shingles ARRAY<STRING>: the words of its questions' normal text. A narrow map; workers keep what they have met."""
-    df = df.drop("shingles")
+    """df with shingles ARRAY<STRING>, the words of its questions' normal text, and fixed ARRAY<STRING>, those of them that are never explained. A narrow map; workers keep what they have met."""
+    df = df.drop("shingles", "fixed")
     at = df.columns.index(text)
-    inner = T.StructType([*df.schema.fields, T.StructField("shingles", T.ArrayType(T.StringType()))])
+    kind = T.ArrayType(T.StringType())
+    inner = T.StructType([*df.schema.fields, T.StructField("shingles", kind), T.StructField("fixed", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         companies = register.value
         for batch in batches:
-            words = pa.array([question_words(t, companies) for t in batch.column(at).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, words], schema=pa.schema([*batch.schema, pa.field("shingles", pa.list_(pa.string()))]))
+            words = [question_words(t, companies) for t in batch.column(at).to_pylist()]
+            new = [pa.array(x, pa.list_(pa.string())) for x in (words, [exact(w) for w in words])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=pa.schema([*batch.schema, *[pa.field(n, pa.list_(pa.string())) for n in ("shingles", "fixed")]]))
 
     return df.mapInArrow(run, inner)
 
@@ -85,7 +88,7 @@ def signatures(sets: list[np.ndarray] | np.ndarray, starts: np.ndarray, bands: i
 
 
 def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(class, bucket) for each band of classes (class, shingles); a bucket is the hash of the band's number and its minwise hashes."""
+    """(class, bucket) for each band of classes (class, hashed, block); a bucket is the hash of the block, the band's number and its minwise hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -102,10 +105,13 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
             if not len(sizes):
                 continue
             found = signatures(code[words.indices.to_numpy(zero_copy_only=False)], np.concatenate([[0], np.cumsum(sizes)[:-1]]), bands, rows)
+            with np.errstate(over="ignore"):
+                found = (found ^ batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+                found ^= found >> np.uint64(33)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sizes) + 1, bands), pa.int32()), pa.array(np.ascontiguousarray(found.T).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["class", "buckets"])
 
-    return classes.select("class", "shingles").mapInArrow(run, "class binary, buckets array<bigint>").select("class", F.explode("buckets").alias("bucket"))
+    return classes.select("class", "hashed", "block").mapInArrow(run, "class binary, buckets array<bigint>").select("class", F.explode("buckets").alias("bucket"))
 
 
 def classed(records: DataFrame) -> DataFrame:
@@ -114,13 +120,19 @@ def classed(records: DataFrame) -> DataFrame:
 
 
 def cross_classes(train: DataFrame, evaluation: DataFrame, threshold: float, bands: int, rows: int, explained: Callable[[list[str], list[str]], bool] | None = None) -> DataFrame:
-    """(train_class, eval_class, similarity) of classes (class, shingles, ...) of either side with Jaccard similarity of at least threshold.
+    """(train_class, eval_class, similarity) of classes (class, shingles, perhaps fixed, ...) of either side with Jaccard similarity of at least threshold.
 
-    explained: what two sets that differ have to meet besides.
+    explained: what two sets that differ have to meet besides; two that differ in their fixed shingles never do.
     """
-    a = train.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    b = evaluation.groupBy("class").agg(F.first("shingles").alias("shingles"))
-    left, right = _buckets(a, bands, rows), _buckets(b, bands, rows)
+    a, b = (df.groupBy("class").agg(*[F.first(c).alias(c) for c in df.columns if c in ("shingles", "fixed")]) for df in (train, evaluation))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        if "fixed" not in df.columns:
+            return df.select("class", F.col("shingles").alias("hashed"), F.lit(0).cast("bigint").alias("block"))
+        rest = F.array_except("shingles", "fixed")
+        return df.select("class", F.when(F.size(rest) > 0, rest).otherwise(F.array(F.lit(""))).alias("hashed"), F.xxhash64("fixed").alias("block"))
+
+    left, right = (_buckets(hashed(df), bands, rows) for df in (a, b))
     both = left.withColumnRenamed("class", "train_class").join(right.withColumnRenamed("class", "eval_class"), "bucket").select("train_class", "eval_class").distinct()
     sets = both.join(a.select(F.col("class").alias("train_class"), F.col("shingles").alias("sa")), "train_class").join(b.select(F.col("class").alias("eval_class"), F.col("shingles").alias("sb")), "eval_class")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -138,7 +150,7 @@ def cross_classes(train: DataFrame, evaluation: DataFrame, threshold: float, ban
 
 def cross_pairs(pairs: DataFrame, train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(train_id, eval_id, similarity, and what else evaluation has): the members of pairs of classes, written out."""
-    rest = [c for c in evaluation.columns if c not in ("id", "shingles", "class")]
+    rest = [c for c in evaluation.columns if c not in ("id", "shingles", "fixed", "class")]
     return (
         pairs.join(train.select(F.col("class").alias("train_class"), F.col("id").alias("train_id")), "train_class")
         .join(evaluation.select(F.col("class").alias("eval_class"), F.col("id").alias("eval_id"), *rest), "eval_class")
@@ -159,11 +171,11 @@ def sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def question_overlaps(test_set: DataFrame, golden: DataFrame, register: Broadcast) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes, members (id, source, split, class, shingles)) of questions of the training split and of evaluation records that ask the same."""
+    """(pairs of classes, members (id, source, split, class, shingles, fixed)) of questions of the training split and of evaluation records that ask the same."""
     every = records(test_set, golden)
     every = every.repartition(workers(every), "id")
     # read for classes, sets and members; stored, so that no question is taken apart twice
-    members = durable(classed(question_shingles(every, register).select("id", "source", "split", "shingles")))
+    members = durable(classed(question_shingles(every, register).select("id", "source", "split", "shingles", "fixed")))
     return cross_classes(*sides(members), *QUESTIONS, explained=same_question), members
 
 

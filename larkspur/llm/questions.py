@@ -195,6 +195,11 @@ def _latin(s: str, companies: Register) -> list[str]:
     return out + ["word=" + w for w in re.findall(r"[a-z]+|\d+", s) if w not in WORDS_LATIN]
 
 
+def exact(words: list[str]) -> list[str]:
+    """Those of a question's words that two questions have to share."""
+    return [w for w in words if w.partition("=")[0] in EXACT]
+
+
 def _slip(said: str, meant: str) -> bool:
     """One edit; no digit is one, and in words of two characters or of three Latin letters none is."""
     return len(meant) >= (3 if meant[-1] > "ÿ" else 4) and not any(c.isdigit() for c in said) and abs(len(said) - len(meant)) <= 1 and distance(said, meant) == 1

@@ -154,7 +154,7 @@ def test_question_recall_against_brute_force(spark, register):
         for _ in range(400)
     ]
     sets = [asks(register, t) for t in texts]
-    df = overlap.classed(spark.createDataFrame([(f"r{i}", w, i % 2) for i, w in enumerate(sets)], "id string, shingles array<string>, side int"))
+    df = overlap.classed(spark.createDataFrame([(f"r{i}", w, questions.exact(w), i % 2) for i, w in enumerate(sets)], "id string, shingles array<string>, fixed array<string>, side int"))
     left, right = df.where("side = 0"), df.where("side = 1")
     pairs = overlap.cross_classes(left, right, *overlap.QUESTIONS, explained=questions.same_question)
     got = {(r.train_id, r.eval_id) for r in overlap.cross_pairs(pairs, left, right.drop("side")).collect()}
