@@ -20,8 +20,26 @@ class Quantity(NamedTuple):
 
 #: Common units: of amounts one yuan or dollar, of ratios 1.
 UNITS = {"amount": "1", "ratio": "1", "mass": "t", "area": "m2", "power": "kW"}
-# Names of currencies.
-CURRENCIES = {"人民币": "CNY", "rmb": "CNY", "cny": "CNY", "cn¥": "CNY", "¥": "CNY", "元": "CNY", "yuan": "CNY", "us$": "USD", "usd": "USD", "$": "USD", "美元": "USD", "美金": "USD", "dollars": "USD", "dollar": "USD"}
+# Names of currencies; each is a currency of its own.
+CURRENCY_NAMES = {
+    "CNY": "人民币 rmb cny cn¥ ¥ 元 yuan",
+    "USD": "us$ usd $ 美元 美金 dollars dollar",
+    "HKD": "hk$ hkd 港元 港币",
+    "EUR": "€ eur euros euro 欧元",
+    "GBP": "£ gbp pounds 英镑",
+    "JPY": "jpy yen 日元 日圆",
+    "TWD": "nt$ twd 新台币 台币",
+    "KRW": "₩ krw 韩元 韩圆",
+    "SGD": "s$ sgd 新加坡元 新元",
+    "AUD": "a$ aud 澳元",
+    "CAD": "c$ cad 加元",
+    "CHF": "chf 瑞士法郎",
+    "INR": "₹ inr 卢比",
+    "RUB": "₽ rub 卢布",
+    "MOP": "mop 澳门元",
+    "THB": "thb 泰铢",
+}
+CURRENCIES = {name: code for code, names in CURRENCY_NAMES.items() for name in names.split()}
 # Scales of amounts.
 SCALES = {"": 1, "千": 10**3, "k": 10**3, "thousand": 10**3, "万": 10**4, "十万": 10**5, "百万": 10**6, "million": 10**6, "mn": 10**6, "千万": 10**7, "亿": 10**8, "bn": 10**9, "billion": 10**9, "十亿": 10**9, "百亿": 10**10, "万亿": 10**12, "trillion": 10**12}
 # Units of other kinds, with their size in the common unit.
@@ -33,6 +51,8 @@ OTHER = {
 }
 _UNIT = {name: (kind, Decimal(size)) for kind, names in OTHER.items() for name, size in names.items()}
 _DIGIT = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
+#: Scales that only a currency before the number tells from units of length and the like.
+_SHORT = {"m": 10**6, "mm": 10**6, "b": 10**9}
 _POWER = {"十": 10, "百": 100, "千": 1000}
 
 
@@ -42,13 +62,16 @@ def _any(names) -> str:
 
 NUMBER = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][+-]?\d+)?"
 HAN = r"[零〇一二两三四五六七八九十百千]*[零〇一二两三四五六七八九十][零〇一二两三四五六七八九十百千]*(?:点[零〇一二三四五六七八九]+)?"
-_BEFORE = r"人民币|rmb|cny|cn¥|¥|us\$|usd|\$"
-_AFTER = r"元人民币|人民币元?|美元|美金|元|yuan|rmb|cny|usd|dollars?"
+_HAN_MONEY = [n for n in CURRENCIES if n[-1] > "\u2e80"]
+_BEFORE = _any(n for n in CURRENCIES if n not in _HAN_MONEY and n not in ("yuan", "dollar", "dollars", "euro", "euros", "pounds", "yen")) + "|人民币|港币|新台币"
+_AFTER = "元人民币|人民币元|" + _any([*_HAN_MONEY, "yuan", "rmb", "cny", "usd", "dollars", "dollar", "hkd", "eur", "euros", "euro", "gbp", "pounds", "jpy", "yen", "twd", "krw", "sgd", "aud", "cad", "chf"])
 _SCALE = _any(SCALES)
+# a sign may stand before a number or its currency, but a dash after a number or unit is a range
+_SIGN = r"负|(?<![0-9元亿万%％])[-−]"
 QUANTITY = re.compile(
-    rf"(?<![A-Za-z0-9.])(?P<minus>[-−])?(?P<before>{_BEFORE})\s*(?P<num1>{NUMBER}|{HAN})\s*(?P<scale1>{_SCALE})?(?![a-z])\s*(?P<after1>{_AFTER})?"
-    rf"|(?<![A-Za-z0-9.,])(?P<sign>[-−+])?(?P<num2>{NUMBER})\s*(?P<unit>{_any(_UNIT)})(?![a-z0-9])"
-    rf"|(?<![A-Za-z0-9.,])(?P<num3>{NUMBER}|(?<![零〇一二两三四五六七八九十百千]){HAN})\s*(?:(?P<scale3>{_SCALE})\s*(?P<after3>{_AFTER})?|(?P<after4>{_AFTER}))(?![a-z])",
+    rf"(?<![A-Za-z0-9.])(?P<minus>{_SIGN})?(?P<before>{_BEFORE})\s*(?P<inner>[-−])?(?P<num1>{NUMBER}|{HAN})\s*(?P<scale1>{_any({*SCALES, *_SHORT})})?(?![a-z])\s*(?P<after1>{_AFTER})?"
+    rf"|(?<![A-Za-z0-9.,])(?P<sign>[-−+负])?(?P<num2>{NUMBER})\s*(?P<unit>{_any(_UNIT)})(?![a-z0-9])"
+    rf"|(?<![A-Za-z0-9.,])(?P<minus3>{_SIGN})?(?P<num3>{NUMBER}|(?<![零〇一二两三四五六七八九十百千]){HAN})\s*(?:(?P<scale3>{_SCALE})\s*(?P<after3>{_AFTER})?|(?P<after4>{_AFTER}))(?![a-z])",
     re.IGNORECASE,
 )
 BARE = re.compile(rf"\s*([-−+]?{NUMBER})\s*")
@@ -84,20 +107,28 @@ def quantities(text: str | None) -> list[Quantity]:
     if not text:
         return []
     s = plain(text)
-    out = []
+    out: list[Quantity] = []
     with localcontext() as exact:
         exact.prec = 60
+        open_end = -1  # where an amount ended in a scale, without a currency after it
         for m in QUANTITY.finditer(s):
             g = m.groupdict()
             if g["num2"]:
                 kind, size = _UNIT[g["unit"].lower()]
                 value, currency = number(g["num2"]) * size, None
-                negative = g["sign"] in ("-", "−")
+                negative = g["sign"] in ("-", "−", "负")
             else:
-                raw = g["num1"] or g["num3"]
-                kind, size = "amount", Decimal(SCALES[(g["scale1"] or g["scale3"] or "").lower()])
-                value, currency = number(raw) * size, _currency(g["before"], g["after1"], g["after3"], g["after4"])
-                negative = g["minus"] in ("-", "−")
+                raw, scale, after = g["num1"] or g["num3"], (g["scale1"] or g["scale3"] or "").lower(), g["after1"] or g["after3"] or g["after4"]
+                kind, size = "amount", Decimal(SCALES.get(scale) or _SHORT[scale])
+                value, currency = number(raw) * size, _currency(g["before"], after)
+                negative = bool(g["minus"] or g["inner"] or g["minus3"])
+                whole = out[-1] if out and open_end == m.start() and not g["before"] and not negative else None
+                if whole and value < whole.size and (whole.currency is None or currency in (None, whole.currency)):
+                    # 3亿5000万: parts of falling scales are one amount
+                    out[-1] = Quantity(kind, whole.currency or currency, whole.value + value if whole.value >= 0 else whole.value - value, size, whole.start, m.end())
+                    open_end = m.end() if scale and not after else -1
+                    continue
+                open_end = m.end() if scale and not after else -1
             out.append(Quantity(kind, currency, -value if negative else value, size, m.start(), m.end()))
     return out
 

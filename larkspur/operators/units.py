@@ -1,18 +1,19 @@
 """Quantities recorded in different units, brought to one unit for each kind.
 
-Method: the values of a source in their order are its history. What is looked at is the logarithm of a value against
-what is stated beside it (a fact's printed form, an answer's own quantities); it is 0 as long as the unit is the
-agreed one. An exact penalised changepoint search cuts the history into segments of one level, and a level that is
-the logarithm of a known factor marks a change of unit, which is reversed by that factor. Units stated in text are
-read exactly first; comparisons of the segments' members are exact.
+Method: the values of a source in the order of its records are its history, one for amounts and one for ratios. What is
+looked at is the logarithm of a value against what is stated beside it (a fact's printed form, an answer's own quantities);
+it is 0 as long as the unit is the agreed one. An exact penalised changepoint search cuts the history into segments of one
+level. A segment off level 0 is where the unit changes; a level that is the logarithm of a known factor is reversed by that
+factor, any other is reported. An exact comparison confirms each member. Units stated in text are read exactly first.
 
 A history is cut into blocks of bounded length by its place in the order, so a source that holds a third of all rows
 lies in many tasks. Levels are measured from 0, so a cut between blocks changes none of them. Only the filling of gaps
 sees a cut: neighbours are those in the block, so a value without a form at the edge of a block stays as recorded.
 
 Defined cases: null, empty or unreadable values and forms give no level and are no case; a value without a form beside
-it takes the factor of its segment if both its neighbours lie in that segment, else stays as recorded. Zero has no
-logarithm: it equals zero only. An amount without currency takes the row's, or that of the answer; an unknown or null
+it takes the factor of its segment if both its neighbours in the history lie in that segment (a record whose other values
+are off by one factor, say), else stays as recorded. Zero and a change of sign have no logarithm: there the exact
+comparison alone decides. An amount without currency takes the row's, or that of the answer; an unknown or null
 currency contradicts none. Repeated deliveries count once, by the last. Other columns are ignored.
 """
 
@@ -150,7 +151,8 @@ def _segment_histories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         power = np.array([known_level(v) if math.isfinite(v) and v else 0 for v in level], np.int64)
         recorded, stated = pdf.recorded.to_numpy(float), pdf.stated.to_numpy(float)
         value = np.where(np.isfinite(stated), stated, recorded / 10.0**power)
-        off = pdf.differs.to_numpy(bool) & ~(np.isfinite(y) & (level == 0))
+        # the search decides where there is a logarithm, the exact comparison confirms
+        off = np.where(np.isfinite(y), level != 0, True) & pdf.differs.to_numpy(bool)
         status = np.select([pdf.other_currency.to_numpy(bool), off & (power != 0), off, np.isfinite(value)], ["other currency", "unit change", "differs", "as agreed"], "unknown")
         return pd.DataFrame({"fact_id": pdf.fact_id, "item": pdf["item"], "kind": pdf.kind, "currency": pdf.currency, "value": value, "power": power, "status": status, "unit_size": pdf.unit_size})
 
@@ -159,7 +161,7 @@ def _segment_histories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
         if pdf.empty:
             continue
-        key = pdf[["source", "item", "block"]]
+        key = pdf[["source", "kind", "block"]]
         starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
         last = int(starts[-1])
         if last:
@@ -180,8 +182,8 @@ def fact_quantities(df: DataFrame, block: int = BLOCK) -> DataFrame:
         _read_facts, "fact_id string, source string, year int, item string, kind string, currency string, recorded double, stated double, unit_size double, level double, differs boolean, other_currency boolean"
     )
     keyed = read.withColumn("source", F.coalesce("source", F.lit("")))
-    placed = rank_within(keyed, ["source", "item"], [("year", True), ("fact_id", True)], "place").withColumn("block", F.floor((F.col("place") - 1) / block))
-    history = ["source", "item", "block"]
+    placed = rank_within(keyed, ["source", "kind"], [("year", True), ("fact_id", True), ("item", True)], "place").withColumn("block", F.floor((F.col("place") - 1) / block))
+    history = ["source", "kind", "block"]
     apart = placed.repartition(workers(df), *history).sortWithinPartitions(*history, "place")
     return apart.mapInPandas(_segment_histories, "fact_id string, item string, kind string, currency string, value double, power int, status string, unit_size double")
 

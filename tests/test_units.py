@@ -6,6 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from larkspur.functions.quantities import quantities
 from larkspur.operators import units
 
 
@@ -86,6 +87,36 @@ def test_answers():
     assert [r[6] for r in units.answer_rows("6000万元，即60百万元", [["60百万元"]]) if r[0] == "check"] == [0]
 
 
+def test_amounts_in_text():
+    for text, value, currency in [
+        ("三亿五千万元", 350_000_000, "CNY"), ("1亿2000万元", 120_000_000, "CNY"), ("一百二十三万四千元", 1_234_000, "CNY"), ("人民币3亿5000万元", 350_000_000, "CNY"), ("3亿2千万美元", 320_000_000, "USD"), ("1万亿2000亿元", 1_200_000_000_000, "CNY"),
+        ("USD 1.2m", 1_200_000, "USD"), ("US$3B", 3_000_000_000, "USD"), ("$5k", 5000, "USD"), ("负3亿元", -300_000_000, "CNY"), ("-3亿元", -300_000_000, "CNY"), ("净利润-3亿元", -300_000_000, "CNY"), ("负三亿五千万元", -350_000_000, "CNY"), ("$-5 million", -5_000_000, "USD"),
+        ("HK$5 million", 5_000_000, "HKD"), ("£3m", 3_000_000, "GBP"), ("3亿欧元", 300_000_000, "EUR"), ("5 million yen", 5_000_000, "JPY"), ("20亿日元", 2_000_000_000, "JPY"), ("5000万港元", 50_000_000, "HKD"), ("€2bn", 2_000_000_000, "EUR"), ("六百万", 6_000_000, None),
+    ]:
+        assert [(q.value, q.currency) for q in quantities(text)] == [(value, currency)], text
+    assert [q.value for q in quantities("1亿元-3亿元")] == [10**8, 3 * 10**8]
+    assert [q.value for q in quantities("营收3亿元，净利5000万元")] == [3 * 10**8, 5 * 10**7]
+    assert [q.value for q in quantities("5000万3亿元")] == [5 * 10**7, 3 * 10**8]
+    assert quantities("1.2m") == [] == quantities("5 mm")
+
+
+def test_a_record_off_by_one_factor_is_repaired_where_nothing_is_printed(spark):
+    names = ["cash_flow", "equity", "net_profit", "revenue", "total_assets"]
+    rows = [("a", "x", 2020, "CNY", {n: ("80000000", "8000万元") for n in names})]
+    rows.append(("b", "x", 2021, "CNY", {n: ("8000", None if n == "net_profit" else "8000万元") for n in names}))
+    rows.append(("c", "x", 2022, "CNY", {n: ("80000000", None if n == "revenue" else "8000万元") for n in names}))
+    got = {(r.fact_id, r["item"]): r for r in units.fact_quantities(facts(spark, rows)).collect()}
+    assert got["b", "net_profit"].value == 8e7 and got["b", "net_profit"].power == -4
+    assert got["c", "revenue"].value == 8e7 and got["c", "revenue"].power == 0
+    assert all(got["b", n].status == "unit change" for n in names if n != "net_profit")
+
+
+def test_levels_of_no_known_factor_zero_and_signs(spark):
+    rows = [("a", "x", 2020, "CNY", {"revenue": ("81", "80元"), "equity": ("0", "5元"), "cash_flow": ("-5", "5元"), "net_profit": ("-500000000", "负5亿元"), "total_assets": ("5", "5欧元")})]
+    got = {r["item"]: r.status for r in units.fact_quantities(facts(spark, rows)).collect()}
+    assert got == {"revenue": "differs", "equity": "differs", "cash_flow": "differs", "net_profit": "as agreed", "total_assets": "other currency"}
+
+
 def test_empty_tables(spark):
     assert units.fact_quantities(facts(spark, [])).count() == 0
     assert units.answer_quantities(spark.createDataFrame([], "query_id string, gold_answer string, answer_checks array<array<string>>, value int")).count() == 0
