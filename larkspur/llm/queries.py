@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.columns import token_estimate
 from larkspur.llm import bpe, fusion, language, looks, names, overlap, packing, splitting
 from larkspur.session import durable, table
 
@@ -21,6 +22,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("n_pieces > 1 and piece_no = 0").select("config_id", "element_id")
 
 
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each config: elements that were divided, and of their pieces those above the limit, with a gap before them, or with another overlap than asked for."""
+    configs = table(spark, d, "adaptive_chunk_config").select("config_id", "max_tokens", F.col("overlap_tokens").alias("asked")).distinct()
+    order = Window.partitionBy("config_id", "element_id").orderBy("piece_no")
+    parts = p2_pieces(spark, d).where("n_pieces > 1").withColumn("before", F.lag("end_char").over(order)).join(F.broadcast(configs), "config_id")
+    shared = F.when(F.col("before") > F.col("start_char"), token_estimate(F.expr("substring(text, 1, before - start_char)"))).otherwise(0)
+    size = token_estimate(F.col("text"))
+    first = F.col("piece_no") == 0
+    return parts.groupBy("config_id").agg(
+        F.count_if(first).alias("n_divided"),
+        F.count_if((size > F.col("max_tokens")) | (size != F.col("n_tokens"))).alias("n_wrong_size"),
+        F.count_if(F.when(first, F.col("start_char") != 0).otherwise((F.col("start_char") > F.col("before")) | (F.col("end_char") <= F.col("before")))).alias("n_uncovered"),
+        F.count_if(~first & (shared != F.col("asked"))).alias("n_wrong_overlap"),
+    )
+
+
 def _questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     known = names.register(table(spark, d, "companies"))
     return overlap.question_overlaps(table(spark, d, "test_set_v2"), table(spark, d, "golden_test_set"), known)
@@ -99,7 +116,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(p9_languages(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p3_pairs, p3_members, p3_overlaps, p3_texts, p3_found, p4_canonical, p4_found, p5_links, p5_found, p7_ids, p8_containers, p9_languages, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_fused, p2_pieces, p2_found, p2_checked, p3_pairs, p3_members, p3_overlaps, p3_texts, p3_found, p4_canonical, p4_found, p5_links, p5_found, p7_ids, p8_containers, p9_languages, p9_found)}
 
 SQL = {
     "p1_fused": r"""
@@ -117,4 +134,10 @@ e as (select distinct element_id, text from parsed_elements where text is not nu
 s as (select element_id, len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._%-][A-Za-z0-9]+)*'))
    + len(regexp_extract_all(text, '[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}\x{3400}-\x{9fff}]')) as n from e)
 select config_id, element_id from s join c on n > max_tokens""",
+    "p2_checked": r"""
+with c as (select distinct config_id, max_tokens from adaptive_chunk_config where max_tokens > 0 and overlap_tokens >= 0 and overlap_tokens < max_tokens),
+e as (select distinct element_id, text from parsed_elements where text is not null and element_id is not null),
+s as (select element_id, len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._%-][A-Za-z0-9]+)*'))
+   + len(regexp_extract_all(text, '[^\p{L}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}\x{3400}-\x{9fff}]')) as n from e)
+select config_id, count(*) as n_divided, 0::bigint as n_wrong_size, 0::bigint as n_uncovered, 0::bigint as n_wrong_overlap from s join c on n > max_tokens group by 1""",
 }

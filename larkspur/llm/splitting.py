@@ -5,14 +5,15 @@ binary search. Boundaries (ends of sentences and rows, ends of clauses, spaces)
 the last boundary at which it is within the limit, found by binary search, the next one starts as many tokens before
 that end as the overlap says, and where no boundary lies in reach the piece is cut hard between two tokens.
 
-Size is the token estimate: Han characters, runs of Latin letters and digits, and punctuation marks, at least 1.
+Size is the token estimate: Han characters, runs of Latin letters and digits, and punctuation marks, at least 1. A mark
+within a run counts beside the run, so what a cut leaves of a run counts once more.
 
 Defined cases: null and blank texts, and elements without an id, have no pieces; a text within the limit is one piece.
 A piece is text[start:end], so the pieces without their overlaps give back the text, and blanks at an end stay with the
-piece before. The overlap is exact but where it would begin within a token; then it begins at the next one. A token of
-letters and marks that alone exceeds the limit is cut within. Configs the reference refuses (limit null or not
-positive; overlap null, negative or not below the limit) are skipped. An unknown, blank or null kind is 'text'. Repeated
-deliveries count once, by the last. Other columns are ignored.
+piece before. Every piece shares exactly the overlap with the one before; a boundary so early that the first piece would
+hold no more than the overlap is none. A run of letters and marks is cut within, at a mark, only where the piece before
+it cannot end at its start. Configs the reference refuses (limit null or not positive; overlap null, negative or not below the
+limit) are skipped. An unknown, blank or null kind is 'text'. Repeated deliveries count once, by the last. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,29 +42,17 @@ SPACE = re.compile(r"\s+")
 BOUNDARIES = ("sentence", "clause", "space")
 
 
-def units(text: str, whole: int = 16) -> tuple[array, array, array]:
-    """Offset of each counted token; starts and ends of runs that must stay whole.
-
-    A run with marks in it counts once and each mark once more. Where a run counts more than `whole`, it may be cut at
-    its marks, and then each part of it counts.
-    """
-    at, run_from, run_to = array("i"), array("i"), array("i")
+def units(text: str) -> tuple[array, bytearray]:
+    """Offset of each counted token, and whether it is a mark within a run."""
+    at, inner = array("i"), bytearray()
     for m in UNIT.finditer(text):
         at.append(m.start())
-        if m[1]:
+        inner.append(0)
+        if m[1] and not m[1].isalnum():
             marks = [m.start() + x.start() for x in MARK.finditer(m[1])]
-            if len(marks) < whole:
-                at.extend(marks)
-                if m.end() - m.start() > 1:
-                    run_from.append(m.start())
-                    run_to.append(m.end())
-            else:
-                at.extend([m.start() + x.start() for x in re.finditer(r"[._%-]|[A-Za-z0-9]+", m[1])][1:])
-    return at, run_from, run_to
-
-
-def estimate(text: str) -> int:
-    return max(1, sum(1 + (len(MARK.findall(m[1])) if m[1] else 0) for m in UNIT.finditer(text)))
+            at.extend(marks)
+            inner.extend(b"\x01" * len(marks))
+    return at, inner
 
 
 class Splitter:
@@ -71,55 +60,54 @@ class Splitter:
 
     def __init__(self, text: str):
         self.text = text
-        self.size = estimate(text)
-        self.whole = 0
-
-    def _measure(self, whole: int) -> None:
-        if whole != self.whole:
-            self.whole = whole
-            self.at, self.run_from, self.run_to = units(self.text, whole)
-            self.levels = [array("i", (e for e in (m.end() for m in p.finditer(self.text)) if self._inside(e) < 0)) for p in (SENTENCE, CLAUSE, SPACE)]
-
-    def _inside(self, pos: int) -> int:
-        """The end of the run that pos lies within, else -1."""
-        i = bisect_left(self.run_from, pos) - 1
-        return self.run_to[i] if i >= 0 and pos < self.run_to[i] else -1
+        self.at, self.inner = units(text)
+        self.size = max(1, len(self.at))
+        self.levels: list[array] | None = None
 
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
         """(start, end, tokens, tokens shared with the piece before, kind of cut at the end) of each piece."""
-        n = len(self.text)
+        n, at, inner = len(self.text), self.at, self.inner
         if self.size <= limit:
             return [(0, n, self.size, 0, "end")]
-        self._measure(min(16, limit))
-        at, levels = self.at, self.levels
+        if self.levels is None:
+            # none of these patterns ends within a run
+            self.levels = [array("i", [m.end() for m in p.finditer(self.text)]) for p in (SENTENCE, CLAUSE, SPACE)]
         out: list[tuple[int, int, int, int, str]] = []
-        start, first, shared = 0, 0, 0  # offset, tokens before it, tokens of overlap
-        while len(at) - first > limit:
-            done = out[-1][1] if out else 0
-            reach = at[first + limit]
-            for level, name in zip(levels, BOUNDARIES, strict=True):
+        # offset, tokens before it, 1 where it lies within a run, tokens of overlap
+        start, first, rest, shared = 0, 0, 0, 0
+        # what an end has to lie beyond
+        least = at[overlap]
+        while len(at) - first + rest > limit:
+            k = first + limit - rest
+            reach = at[k]
+            within = 0
+            for level, name in zip(self.levels, BOUNDARIES, strict=True):
                 i = bisect_right(level, reach) - 1
-                if i >= 0 and level[i] > done:
+                if i >= 0 and level[i] > least:
                     end, cut = level[i], name
                     break
             else:
-                end, cut = reach, "hard"
-                while end > done and self._inside(end) >= 0:
-                    end = self.run_from[bisect_left(self.run_from, end) - 1]
-                if end <= done:
-                    # what the overlap leaves of the limit is too little for the next run: no overlap here
-                    start, first, shared = done, bisect_left(at, done), 0
-                    continue
+                cut, j = "hard", k
+                while inner[j]:
+                    j -= 1
+                end = at[j]
+                if end <= least:
+                    # the run fills the piece; at a limit of 1 a mark may stand alone
+                    end, within = (reach if reach > start else start + 1), 1
             upto = bisect_left(at, end)
-            out.append((start, end, max(1, upto - first), shared, cut))
-            back = max(upto - overlap, first + 1)
-            start = at[back] if back < upto else end
-            inner = self._inside(start)
-            if back < upto and inner >= 0:
-                start = min(inner, end)
-            first = bisect_left(at, start)
-            shared = upto - first
-        out.append((start, n, max(1, len(at) - first), shared, "end"))
+            alone = rest and end == start + 1 and upto > first
+            out.append((start, end, upto - first + rest - alone, shared, cut))
+            if overlap:
+                # a start at a mark within a run would count what is left of the run as well, the place after it counts that instead
+                first = upto - overlap
+                rest = inner[first]
+                start = at[first] + rest
+                first += rest
+            else:
+                start, first, rest = end, upto, within
+            # the next piece has one more token at least; what is left of a run is one
+            shared, least = overlap, end if within or upto == len(at) else at[upto]
+        out.append((start, n, max(1, len(at) - first + rest), shared, "end"))
         return out
 
 

@@ -35,12 +35,16 @@ def test_canonical_columns(spark):
     assert looks.canonical_columns(df.where("false"), ["t"]).count() == 0
 
 
+def reference_count(t):
+    return reference_size(t) if t.strip() else 0
+
+
 def reference_size(t):
     return max(1, len(re.findall(r"[㐀-鿿]", t)) + len(re.findall(r"[A-Za-z0-9]+(?:[._%-][A-Za-z0-9]+)*", t)) + len(re.findall(r"[^\w\s㐀-鿿]", t)))
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["漢", "字。", "，", "a", "b1", ".", "-", "%", " ", "_", "é", "\n", "a.b-c", "xxxxx", "1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6.7.8.9"]), max_size=120).map("".join), st.sampled_from([(5, 2), (40, 8), (3, 0), (1, 0), (20, 19)]))
+@given(st.lists(st.sampled_from(["漢", "字。", "，", "a", "b1", ".", "-", "%", " ", "_", "é", "\n", "a.b-c", "xxxxx", "1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6.7.8.9"]), max_size=120).map("".join), st.sampled_from([(5, 2), (14, 6), (40, 8), (3, 0), (1, 0), (2, 1), (20, 19)]))
 def test_pieces(text, sizes):
     limit, overlap = sizes
     s = splitting.Splitter(text)
@@ -51,7 +55,8 @@ def test_pieces(text, sizes):
     end = 0
     for i, (a, b, _, shared, _) in enumerate(pieces):
         assert a <= end < b or (i == 0 and a == 0)
-        assert shared <= overlap and (i or not shared)
+        assert shared == (overlap if i else 0) == reference_count(text[a:end])
+        assert pieces[i][2] == reference_size(text[a:b])
         end = b
     assert end == len(text)
 
@@ -64,6 +69,13 @@ def test_boundaries_and_overlap():
     assert [c for *_, c in splitting.Splitter("字" * 50).pieces(20, 5)][:2] == ["hard", "hard"]
 
 
+def test_runs_of_many_marks_are_measured_once():
+    text = "1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6.7 " + "字" * 40
+    pieces = splitting.Splitter(text).pieces(32, 0)
+    assert [n for _, _, n, _, _ in pieces] == [reference_size(text[a:b]) for a, b, *_ in pieces] and pieces[0][1] == 34
+    assert len(splitting.Splitter("1.2.3.4.5.6.7.8.9.0.1.2.3.4.5.6.7").pieces(32, 0)) == 1
+
+
 def test_split_elements(spark):
     from datetime import datetime
 
