@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.batches import slices
-from larkspur.session import bounded_collect, spread
+from larkspur.session import durable, spread
 
 LANGUAGES = ("zh", "en", "de", "fr", "es", "ja")
 # What labels call each language, in lower case and without region.
@@ -50,7 +50,7 @@ SAMPLE = 3000
 SHARE = 0.25
 FEWEST = 3
 SLOTS = 1 << 21
-#: Characters whose n-grams are held at once.
+#: Characters whose n-grams are held at once; sums are carried over the cuts.
 PART = 200_000
 PROBES = 3
 #: Weight of an n-gram by its kind.
@@ -115,10 +115,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Filters:
     """Bit-sliced Bloom filters of the languages: byte i holds bit i of every language's filter."""
 
-    def __init__(self, hashes: np.ndarray, masks: np.ndarray):
-        self.bits = np.zeros(SLOTS, np.uint8)
-        for place in self.places(hashes):
-            np.bitwise_or.at(self.bits, place, masks)
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
         self.false = np.array([((self.bits >> i) & 1).mean() ** PROBES for i in range(len(LANGUAGES))])
 
     @staticmethod
@@ -150,8 +148,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
                 seen[i] += 1
                 found = []
                 for at in range(0, len(t), PART):
-                    h, ok = grams([t[at : at + PART]])
-                    found.append(np.unique(h[ok > 0]))
+                    # the n-grams that begin in a part; the last of them reach into the next one
+                    h, ok = grams([t[at : at + PART + 2]])
+                    found.append(np.unique(h[:PART][ok[:PART] > 0]))
                 for x in np.unique(np.concatenate(found)).view(np.int64).tolist() if found else ():
                     if (row := total.get(x)) is None:
                         row = total[x] = [0] * len(LANGUAGES)
@@ -162,15 +161,29 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
 
     partial = spread(rows.where(keep & F.col("t").isNotNull()).select("t", "l")).mapInArrow(count, "h bigint, " + ", ".join(f"{c} int" for c in LANGUAGES))
     summed = partial.groupBy("h").agg(*[F.sum(c).alias(c) for c in LANGUAGES])
-    often = F.greatest(*[F.col(c) for c in LANGUAGES]) >= FEWEST
-    # the sample bounds this; hash 0 carries the numbers of documents
-    table = bounded_collect(summed.where(often | (F.col("h") == 0)), 8_000_000, "n-grams of the language sample")
-    docs = next((np.array(r[1:], float) for r in table if r[0] == 0), np.zeros(len(LANGUAGES)))
-    rest = [r for r in table if r[0] != 0]
-    hashes = np.array([r[0] for r in rest], np.int64).view(np.uint64)
-    rate = np.array([r[1:] for r in rest], float).reshape(-1, len(LANGUAGES)) / np.maximum(docs, 1)
-    masks = ((rate >= share * rate.max(axis=1, keepdims=True, initial=0)) & (rate > 0)) @ (1 << np.arange(len(LANGUAGES)))
-    return df.sparkSession.sparkContext.broadcast(Filters(hashes, masks.astype(np.uint8)))
+    counted = durable(summed)
+    # hash 0 carries the numbers of documents
+    docs = next(iter(counted.where("h = 0").select(*LANGUAGES).collect()), None) or [0] * len(LANGUAGES)
+    rates = [F.col(c) / F.lit(float(max(n or 0, 1))) for c, n in zip(LANGUAGES, docs, strict=True)]
+    most = F.greatest(*rates)
+    mask = sum((F.when((r > 0) & (r >= share * most), 1 << i).otherwise(0) for i, r in enumerate(rates)), F.lit(0))
+    often = counted.where((F.greatest(*[F.col(c) for c in LANGUAGES]) >= FEWEST) & (F.col("h") != 0)).select("h", mask.alias("mask"))
+    # n-grams are folded into the filter where they are; the driver gets the filter's blocks, SLOTS bytes in all
+    slots = F.array(*[F.shiftrightunsigned("h", 21 * i).bitwiseAND(F.lit(SLOTS - 1)) for i in range(PROBES)])
+    folded = often.select(F.explode(slots).alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+    blocks = folded.groupBy(F.shiftright("slot", 18).cast("int").alias("block")).applyInArrow(_block, "block int, bits binary").collect()
+    bits = np.zeros(SLOTS, np.uint8)
+    for r in blocks:
+        bits[r["block"] << 18 : (r["block"] + 1) << 18] = np.frombuffer(r["bits"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(Filters(bits))
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Slots of one block of the filter as its bytes."""
+    slot = rows.column("slot").to_numpy()
+    bits = np.zeros(1 << 18, np.uint8)
+    bits[slot & (1 << 18) - 1] = rows.column("mask").to_numpy()
+    return pa.table({"block": pa.array([int(slot[0]) >> 18], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 def sentences(text: str) -> list[int]:
@@ -181,9 +194,9 @@ def sentences(text: str) -> list[int]:
     return ends
 
 
-def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
-    """Texts cut at ends of sentences into parts (text, from, to, ends of sentences), a longer sentence hard, in groups of at most about PART characters."""
-    group: list[tuple[int, int, int, np.ndarray]] = []
+def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, int, np.ndarray, bool]]]:
+    """Texts cut at ends of sentences into parts (text, from, to, ends of sentences, whether the last one goes on), in groups of at most about PART characters."""
+    group: list[tuple[int, int, int, np.ndarray, bool]] = []
     size = 0
     for i, t in enumerate(texts):
         ends = sentences(t) if t else []
@@ -196,7 +209,7 @@ def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]
             if size and size + last - at > PART:
                 yield group
                 group, size = [], 0
-            group.append((i, at, last, np.array(ends[k:to] or [last])))
+            group.append((i, at, last, np.array(ends[k:to] or [last]), to == k))
             size += last - at
             at, k = last, to
     if group:
@@ -205,22 +218,33 @@ def _parts(texts: list[str]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]
 
 def classify(filters: Filters, texts: list[str]) -> list[tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]]:
     """(language, confidence, languages with whole sentences, segments) of each text."""
-    measured: list[list[tuple[np.ndarray, ...]]] = [[] for _ in texts]
+    # of each text: sentence starts, sentence ends, and their sums, in parts; a part may go on with the sentence of the one before
+    measured: list[list[list[np.ndarray]]] = [[] for _ in texts]
+    goes_on = [False] * len(texts)
     for group in _parts(texts):
-        for (i, at, _, ends), row in zip(group, _measure(filters, [(texts[i][a:b], ends - a) for i, a, b, ends in group]), strict=True):
-            measured[i].append((np.concatenate([[at], ends[:-1]]), ends, *row))
+        # two characters more, since n-grams reach into the next part
+        for (i, at, _, ends, more), sums in zip(group, _measure(filters, [(texts[i][a : b + 2], ends - a) for i, a, b, ends, _ in group]), strict=True):
+            new = [np.concatenate([[at], ends[:-1]]), ends, *sums]
+            if goes_on[i]:
+                for x, y in zip(measured[i][-1][2:], new[2:], strict=True):
+                    x[-1] += y[0]
+                measured[i][-1][1][-1] = ends[0]
+                new = [x[1:] for x in new]
+            if len(new[0]):
+                measured[i].append(new)
+            goes_on[i] = more
     out = []
     for t, rows in zip(texts, measured, strict=True):
         if not rows:
             out.append((None, 0.0, [], []))
         else:
-            starts, ends, n, true = (np.concatenate(x) for x in zip(*rows, strict=True))
-            out.append(_decide(starts, ends, n, true, t))
+            starts, ends, *sums = (np.concatenate(x) for x in zip(*rows, strict=True))
+            out.append(_decide(starts, ends, *_corrected(filters, t, starts, ends, *sums), t))
     return out
 
 
-def _measure(filters: Filters, parts: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each part of text with its ends of sentences: (weight, corrected weight of each language) of every sentence."""
+def _measure(filters: Filters, parts: list[tuple[str, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part of text with its ends of sentences: (weight, weight of each language, number of Chinese or Japanese n-grams) of every sentence."""
     h, ok = grams([t for t, _ in parts])
     mask = filters.languages(h)
     # a word and a character weigh about the same
@@ -233,20 +257,22 @@ def _measure(filters: Filters, parts: list[tuple[str, np.ndarray]]) -> list[tupl
     at = 0
     for t, ends in parts:
         starts = np.concatenate([[0], ends[:-1]])
-        n = number[at + ends] - number[at + starts]
-        hits = sums[at + ends] - sums[at + starts]
-        true = np.clip((hits - n[:, None] * filters.false) / (1 - filters.false), 0, None)
-        # where both scripts occur and one of them opens and closes the sentence, the other one is quoted in it
-        two = east[at + ends] - east[at + starts]
-        for i in np.flatnonzero((two > 0) & (n - two * WEIGHTS[2] > 0.5)).tolist():
-            if (frame := _frame(t[starts[i] : ends[i]])) >= 0:
-                true[i, ~EASTERN if frame else EASTERN] = 0
-                n[i] = two[i] * WEIGHTS[2] if frame else n[i] - two[i] * WEIGHTS[2]
-        out.append((n, true))
+        out.append((number[at + ends] - number[at + starts], sums[at + ends] - sums[at + starts], east[at + ends] - east[at + starts]))
         at += len(t) + 2
     return out
 
 
+def _corrected(filters: Filters, text: str, starts: np.ndarray, ends: np.ndarray, n: np.ndarray, hits: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, weight of each language less its false positives) of every sentence."""
+    true = np.clip((hits - n[:, None] * filters.false) / (1 - filters.false), 0, None)
+    # where both scripts occur and one of them opens and closes the sentence, the other one is quoted in it
+    for i in np.flatnonzero((two > 0) & (n - two * WEIGHTS[2] > 0.5)).tolist():
+        if (frame := _frame(text[starts[i] : ends[i]])) >= 0:
+            true[i, ~EASTERN if frame else EASTERN] = 0
+            n[i] = two[i] * WEIGHTS[2] if frame else n[i] - two[i] * WEIGHTS[2]
+    return n, true
+
+
 def _frame(sentence: str) -> int:
     """1 if the first and last letters are Chinese or Japanese, 0 if both are not, -1 else."""
     kinds = [k for k in (_kinds[0][min(ord(c), 0xFFFF)] for c in sentence) if k]

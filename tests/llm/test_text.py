@@ -153,9 +153,13 @@ def test_long_texts_are_cut_into_parts(spark, monkeypatch):
     model = language.fit(df)
     texts = [r.text for r in df.collect() if r.text] + [SENTENCES["de"][0] * 30 + SENTENCES["ja"][0] * 40 + "字" * 500]
     whole = language.classify(model.value, texts)
-    monkeypatch.setattr(language, "PART", 300)
-    cut = language.classify(model.value, texts)
-    assert [(a[0], a[2], [s[:3] for s in a[3]]) for a in whole] == [(a[0], a[2], [s[:3] for s in a[3]]) for a in cut]
+    texts.append("公司营业收入同比增长，" * 300 + "管理层认为需求保持平稳。" + " ".join(x.strip(". ") for x in SENTENCES["fr"] * 60) + ". " + SENTENCES["en"][0])
+    whole = language.classify(model.value, texts)
+    for part in (300, 41, 7):
+        monkeypatch.setattr(language, "PART", part)
+        cut = language.classify(model.value, texts)
+        for a, b in zip(whole, cut, strict=True):
+            assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 and a[2] == b[2] and [s[:3] for s in a[3]] == [s[:3] for s in b[3]]
 
 
 def test_slices(spark):
