@@ -53,10 +53,21 @@ def _fold(c: str) -> str:
     return ALIKE.get(c, c)
 
 
+@lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters that may compose with what stands before them: the second parts of all canonical compositions, and of Hangul syllables."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0xC0, 0x30000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            found.add(chr(int(parts[1], 16)))
+    return frozenset(found)
+
+
 @lru_cache(maxsize=200_000)
 def _stable(c: str) -> bool:
-    """Quick check: canonical form keeps the character, and it composes with none before it."""
-    return not unicodedata.combining(c) and not ("ᅡ" <= c <= "ᇿ") and unicodedata.normalize("NFC", _fold(c)) == c
+    """Quick check: canonical form keeps the character, and it composes with none before it, be it a mark or a starter."""
+    return not unicodedata.combining(c) and c not in _seconds() and unicodedata.normalize("NFC", _fold(c)) == c
 
 
 def canonical(text: str | None) -> str | None:
