@@ -8,8 +8,8 @@ from functools import lru_cache
 # Cyrillic, Greek, Armenian and phonetic letters, and their Latin look-alikes.
 LOOKALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХҮӀѴԌԚԜаеѕіјорсухһѵԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονροսոɡ",
-        "ABESIJKMHOPCTYXYIVGQWaesijopcyxhvdqwlABEZHIKMNOPTYXovpoung",
+        "АВЕЅІЈКМНОРСТУХҮӀѴԌԚԜаеѕіјорсухһѵԁԛԝӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονροսոɡıɑօհցզյ",
+        "ABESIJKMHOPCTYXYIVGQWaesijopcyxhvdqwlABEZHIKMNOPTYXovpoungiaohgqj",
         strict=True,
     )
 )

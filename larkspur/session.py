@@ -38,12 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; where it is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset in local mode (tests), a temporary one is set, on a cluster it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     known = jsc.getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
 
