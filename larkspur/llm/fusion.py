@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.ranking import rank_within
+from larkspur.session import durable
 
 #: Of the reference's defaults.
 RRF_K = 5
@@ -42,12 +43,16 @@ def fuse(df: DataFrame, k: int = RRF_K, distances: tuple[str, ...] = DISTANCES,
         .groupBy("_run", "_method", "_item")
         .agg(F.min("_value").alias("_value"), F.min("_claimed").alias("_claimed"))
     )
+    # read for the sizes of groups and for ranking; stored, so that the source is read once
+    votes = durable(votes)
+    sizes = votes.groupBy("_run", "_method").agg(F.count(F.lit(1)).alias("n")).groupBy("_run").agg(F.max("n").alias("of_method"), F.sum("n").alias("of_run"))
+    of_method, of_run = sizes.agg(F.coalesce(F.max("of_method"), F.lit(0)), F.coalesce(F.max("of_run"), F.lit(0))).first()
     # nulls come last, so a missing score without a claimed rank already stands after the scored ones
-    numbered = rank_within(votes, ["_run", "_method"], [("_value", True), ("_item", True)], "_n", ties=True)
+    numbered = rank_within(votes, ["_run", "_method"], [("_value", True), ("_item", True)], "_n", ties=True, most=of_method)
     ranked = numbered.withColumn("_rank", F.when(F.col("_value").isNull(), F.coalesce("_claimed", "_n")).otherwise(F.col("_n")))
     total = ranked.groupBy("_run", "_item").agg(F.sum(1.0 / (F.lit(k) + F.col("_rank"))).alias("score"), F.count(F.lit(1)).alias("n_methods"))
     # rounding before the sort: the order in which a sum was formed must not decide a tie
     total = total.withColumn("score", F.round("score", 12))
-    out = rank_within(total, ["_run"], [("score", False), ("_item", True)])
+    out = rank_within(total, ["_run"], [("score", False), ("_item", True)], most=of_run)
     return out.select(F.col("_run").alias(run), F.col("_item").alias(item), "score", "rank", F.lit("rrf").alias("method"), "n_methods")
 
