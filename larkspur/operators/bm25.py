@@ -12,13 +12,15 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.columns import bm25_tokens, space_tokens
-from larkspur.session import workers
+from larkspur.session import durable, workers
 
 # The defaults of BM25 Okapi.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -45,8 +47,20 @@ def corpus_size(chunks: DataFrame, key: str = "chunk_id", text: str = "content",
     return chunks.select(F.size(split(F.coalesce(F.col(text), F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def bags(chunks: DataFrame, key: str = "chunk_id", text: str = "content", tokenizer: str = "char-bigram") -> DataFrame:
+    """(key, tokens, dl, and the other columns): what search reads. A narrow map; one row for each chunk, also one without a token."""
+    split = bm25_tokens if tokenizer == "char-bigram" else space_tokens
+    rest = [c for c in chunks.columns if c not in (key, text)]
+    return chunks.select(F.col(key), split(F.coalesce(F.col(text), F.lit(""))).alias("tokens"), *rest).withColumn("dl", F.size("tokens").cast("bigint"))
+
+
+def bag_postings(bagged: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The postings of bags."""
+    return bagged.select(key, "dl", F.explode("tokens").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def document_frequencies(posted: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return posted.groupBy(*(by or []), "token").agg(F.count(F.lit(1)).alias("df"))
+    return posted.where("token is not null").groupBy(*(by or []), "token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def raw_idf(n_docs: Column, df: Column) -> Column:
@@ -57,50 +71,104 @@ def term_score(idf: Column, tf: Column, dl: Column, avgdl: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def statistics(posted: DataFrame, n_docs: int) -> DataFrame:
+def weights(frequencies: DataFrame, n_docs: int) -> DataFrame:
     """(token, df, idf): negative idf becomes EPSILON of the mean of all tokens' raw idf."""
-    raw = document_frequencies(posted).withColumn("raw", raw_idf(F.lit(float(n_docs)), F.col("df")))
+    raw = durable(frequencies.withColumn("raw", raw_idf(F.lit(float(n_docs)), F.col("df"))))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("token", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
+def statistics(posted: DataFrame, n_docs: int) -> DataFrame:
+    return weights(document_frequencies(posted), n_docs)
+
+
+def bag_statistics(bagged: DataFrame) -> tuple[DataFrame, float]:
+    """((token, df, idf), mean length) of bags."""
+    n, avgdl = bagged.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    frequencies = bagged.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return weights(frequencies, n), avgdl or 0.0
+
+
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "question", tokenizer: str = "char-bigram") -> DataFrame:
     """(key, token, qtf); a token said twice counts twice."""
     split = bm25_tokens if tokenizer == "char-bigram" else space_tokens
     return queries.select(key, F.explode(split(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def search(
-    queries: DataFrame,
-    posted: DataFrame,
-    stats: DataFrame,
-    avgdl: float,
-    k: int = 20,
-    query: str = "query_id",
-    key: str = "chunk_id",
-    scope: DataFrame | None = None,
-    chunk_scope: DataFrame | None = None,
-) -> DataFrame:
+def search(queries: DataFrame, bagged: DataFrame, stats: DataFrame, avgdl: float, k: int = 20, query: str = "query_id", key: str = "chunk_id", scope: DataFrame | None = None, company: str = "company") -> DataFrame:
     """(query, key, score, rank) of the k best chunks with a positive score of each query.
 
-    scope (query, company) limits a query to companies' chunks, chunk_scope (key, company) says whose a chunk is; a query
-    without scope sees all chunks. The terms of a stated query set that is small enough, which is counted, go to the postings, where
-    a chunk's scores are complete before the shuffle; those of a larger one are joined by token.
+    scope (query, company) limits a query to the chunks whose column `company` says so; a query without scope sees all chunks. The terms of
+    a stated query set that is small enough, which is counted, go to the chunks, of which only every query's best leave a task; those of a
+    larger one are joined by token.
     """
-    terms = query_terms(queries, query).join(stats.select("token", "idf"), "token")
+    terms = durable(query_terms(queries, query).join(stats.select("token", "idf"), "token").select(query, "token", (F.col("qtf") * F.col("idf")).alias("weight")))
     if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    scored = (
-        terms.join(posted, "token")
-        .groupBy(query, key)
-        .agg(F.round(F.sum(F.col("qtf") * term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(float(avgdl)))), 6).alias("score"))
-        .where(~F.isnan("score") & (F.col("score") > 0) & (F.col("score") < float("inf")))
-    )
-    if scope is not None:
-        wanted = scope.groupBy(query).agg(F.collect_set("company").alias("companies"))
-        scored = scored.join(chunk_scope, key).join(wanted, query, "left").where(F.col("companies").isNull() | F.array_contains("companies", F.col("company"))).select(query, key, "score")
+        scored = _scored_in_blocks(terms, bagged, avgdl, k, query, key, scope, company)
+    else:
+        posted = bag_postings(bagged, key)
+        scored = terms.join(posted, "token").groupBy(query, key).agg(F.sum(F.col("weight") * term_score(F.lit(1.0), F.col("tf"), F.col("dl"), F.lit(float(avgdl)))).alias("score"))
+        if scope is not None:
+            wanted = scope.groupBy(query).agg(F.collect_set("company").alias("_companies"))
+            scored = scored.join(bagged.select(key, F.col(company).alias("_company")), key).join(wanted, query, "left").where(F.col("_companies").isNull() | F.array_contains("_companies", F.col("_company")))
+    rounded = scored.select(query, key, F.round("score", 6).alias("score")).where(~F.isnan("score") & (F.col("score") > 0) & (F.col("score") < float("inf")))
     best = Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return rounded.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _scored_in_blocks(terms: DataFrame, bagged: DataFrame, avgdl: float, k: int, query: str, key: str, scope: DataFrame | None, company: str) -> DataFrame:
+    """(query, key, score) of each block of chunks' k best, ties included, for every query."""
+    rows = terms.orderBy("token", query).collect()
+    asked = sorted({r[query] for r in rows})
+    at = {q: i for i, q in enumerate(asked)}
+    tokens = sorted({r["token"] for r in rows})
+    place = {t: i for i, t in enumerate(tokens)}
+    first = np.searchsorted(np.array([place[r["token"]] for r in rows], np.int64), np.arange(len(tokens) + 1))
+    who, weight = np.array([at[r[query]] for r in rows], np.int64), np.array([r["weight"] for r in rows])
+    allowed: dict[str, list[int]] = {}
+    free = np.ones(len(asked), bool)
+    if scope is not None:
+        # a query names few companies
+        for r in scope.join(terms.select(query).distinct(), query, "left_semi").distinct().collect():
+            allowed.setdefault(r["company"], []).append(at[r[query]])
+            free[at[r[query]]] = False
+    known = bagged.sparkSession.sparkContext.broadcast((asked, tokens, first, who, weight, allowed, free))
+    kind = dict(bagged.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, tokens, first, who, weight, allowed, free = known.value
+        vocabulary, names = pa.array(tokens, pa.string()), pa.array(asked)
+        for batch in batches:
+            step = max(1, 4_000_000 // max(1, len(asked)))
+            for start in range(0, batch.num_rows if len(asked) else 0, step):
+                part = batch.slice(start, step)
+                lists, n = part.column(1), part.num_rows
+                found = pc.index_in(lists.flatten(), value_set=vocabulary)
+                chunk = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                hit = found.is_valid().to_numpy(zero_copy_only=False)
+                pair, tf = np.unique(chunk[hit] * len(tokens) + found.drop_null().to_numpy(), return_counts=True)
+                c, t = pair // len(tokens), pair % len(tokens)
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.column(2).to_numpy(zero_copy_only=False)[c] / avgdl))
+                times = first[t + 1] - first[t]
+                each = np.repeat(np.arange(len(t)), times)
+                entry = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + first[t][each]
+                score = np.bincount(c[each] * len(asked) + who[entry], weights=weight[entry] * share[each], minlength=n * len(asked)).reshape(n, len(asked))
+                if not free.all():
+                    seen = np.tile(free, (n, 1))
+                    of: dict[str | None, list[int]] = {}
+                    for i, name in enumerate(part.column(3).to_pylist()):
+                        of.setdefault(name, []).append(i)
+                    for name, at in of.items():
+                        if name in allowed:
+                            seen[np.ix_(at, allowed[name])] = True
+                    score[~seen] = 0
+                # what rounding may bring level with the last one stays
+                least = np.partition(score, n - k, axis=0)[n - k] - 1e-5 if n > k else np.zeros(len(asked))
+                i, j = np.nonzero((score > 0) & (score >= least))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), part.column(0).take(pa.array(i)), pa.array(score[i, j])], names=[query, key, "score"])
+
+    columns = [key, "tokens", "dl", *([company] if scope is not None else [])]
+    return bagged.select(*columns).mapInArrow(run, f"`{query}` {dict(terms.dtypes)[query]}, `{key}` {kind}, score double")
 
 
 def _tokens(text: str) -> list[str]:

@@ -13,7 +13,12 @@ from larkspur.session import bounded_collect, durable
 HOT = 2_000_000
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[tuple[str, bool]], out: str = "rank", ties: bool = False, hot: int = HOT) -> DataFrame:
+def largest(df: DataFrame, group: list[str]) -> int:
+    """Rows of the largest group; of a source with repeated rows it bounds what is left of them."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[tuple[str, bool]], out: str = "rank", ties: bool = False, hot: int = HOT, most: int | None = None) -> DataFrame:
     """df with `out`, 1 for the first row of its group, no two rows alike; order lists (column, ascending), and must end in a unique column.
     With ties, rows that differ in that last column only share the least number.
 
@@ -21,9 +26,13 @@ def rank_within(df: DataFrame, group: list[str], order: list[tuple[str, bool]],
     (group, order), so that a large group lies in several tasks; each partition numbers its own rows, and what earlier
     partitions hold of its first group is added. Only two rows of each partition reach the driver.
     Nulls in the order come last. An empty table stays empty.
+
+    most is a bound of the rows of a group, from whatever the caller knows at less cost; without it the groups are counted, for which
+    everything df is made from runs once more.
     """
     by: list[Column] = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
-    most = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if most is None:
+        most = largest(df, group)
     if most <= hot:
         number, keys = (F.rank(), by[:-1]) if ties else (F.row_number(), by)
         return df.withColumn(out, number.over(Window.partitionBy(*group).orderBy(*keys)).cast("bigint"))

@@ -18,7 +18,7 @@ def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     place = chunks(spark, d, "source_file", "page_number").where("source_file is not null and page_number is not null")
     gold = durable(labels(spark, d).join(place, "chunk_id").groupBy("query_id", "source_file", "page_number").agg(F.max("grade").alias("grade")))
     judged = gold.select("query_id").distinct()
-    ranked = durable(rankings.unique_pages(votes(spark, d).join(judged, "query_id", "left_semi").join(place, "chunk_id"), ["method", "run_id", "query_id"], ["source_file", "page_number"]))
+    ranked = durable(rankings.unique_pages(votes(spark, d, judged).join(place, "chunk_id"), ["method", "run_id", "query_id"], ["source_file", "page_number"]))
     return ranked, gold, ranked.select("method", "run_id", "query_id").distinct()
 
 
@@ -68,13 +68,14 @@ def answer_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slot_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a case's groups with an alternative in the text of its gold pages."""
-    page = rankings.page_texts(table(spark, d, "documents").where("text is not null").select(F.col("source").alias("source_file"), "page_number", F.col("doc_id").alias("start_index"), F.col("text").alias("content")))
+    """Share of a case's groups with an alternative in the text of one of its gold pages' documents. Documents are tested one by one, and of each only the groups it covers go on."""
     cases = _cases(spark, d).where("size(answer_checks) > 0")
-    context = cases.select("query_id", F.explode("gold_pages").alias("p")).select("query_id", "p.source_file", "p.page_number").distinct().join(page, ["source_file", "page_number"]).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("page_text")), "\n").alias("context"))
-    said = F.lower(C.without_space(F.coalesce("context", F.lit(""))))
-    hit = F.filter("answer_checks", lambda g: F.exists(g, lambda a: F.contains(said, F.lower(C.without_space(a)))))
-    rows = cases.select("query_id", "answer_checks").join(context, "query_id", "left").select("query_id", F.size(hit).alias("covered"), F.size("answer_checks").alias("n"))
+    needles = F.transform("answer_checks", lambda g: F.transform(g, lambda a: F.lower(C.without_space(a))))
+    wanted = cases.select("query_id", needles.alias("needles"), F.explode("gold_pages").alias("p")).select("query_id", "needles", "p.source_file", "p.page_number").where("source_file is not null and page_number is not null").distinct()
+    pages = table(spark, d, "documents").where("text is not null").select(F.col("source").alias("source_file"), "page_number", F.lower(C.without_space(F.col("text"))).alias("said"))
+    hit = F.transform("needles", lambda g, i: F.when(F.exists(g, lambda a: F.contains(F.col("said"), a)), i))
+    found = wanted.join(pages, ["source_file", "page_number"]).select("query_id", F.explode(F.array_compact(hit)).alias("group")).distinct().groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("covered"))
+    rows = cases.select("query_id", F.size("answer_checks").alias("n")).join(found, "query_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return rows.select("query_id", F.round(F.col("covered") / F.col("n"), 6).alias("ratio"), (F.col("covered") == F.col("n")).alias("complete"))
 
 
@@ -217,11 +218,12 @@ select split, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) as precision, ro
  round(fp / nullif(fp + tn, 0), 6) as false_refusal_rate, round(tp / nullif(un, 0), 6) as refusal_success_rate, measured, total - measured as unclassified, round(measured / nullif(total, 0), 6) as coverage from c""",
     "answer_checks": f"""with {_CASES}, p as (select split, category, case when len(answer_checks) > 0 then len(list_filter(answer_checks, lambda g: len(list_filter(g, lambda a: contains({_ANS.format('gold_answer')}, {_ANS.format('a')}))) > 0)) = len(answer_checks) end as passed, gold_answer from cases)
 select split, category, round(avg(case when gold_answer is not null then passed::int::double end), 6) as pass_rate, count(case when gold_answer is not null then passed end) as measured, count(*) as n from p group by 1, 2""",
-    "slot_coverage": f"""with {_CASES}, pt as (select source, page_number, string_agg(text, chr(10) order by doc_id) as t from documents where text is not null and source is not null and page_number is not null group by 1, 2),
-g as (select distinct query_id, p.source_file, p.page_number from (select query_id, unnest(gold_pages) as p from cases where len(answer_checks) > 0)),
-ctx as (select query_id, {_BARE.format("string_agg(t, chr(10) order by t)")} as context from g join pt on source = source_file and pt.page_number = g.page_number group by 1),
-c as (select query_id, len(answer_checks) as n, len(list_filter(answer_checks, lambda g: len(list_filter(g, lambda a: contains(coalesce(context, ''), {_BARE.format('a')}))) > 0)) as covered from cases left join ctx using (query_id) where len(answer_checks) > 0)
-select query_id, round(covered / n, 6) as ratio, covered = n as complete from c""",
+    "slot_coverage": f"""with {_CASES}, c as (select distinct query_id, answer_checks, gold_pages from cases where len(answer_checks) > 0),
+p as (select distinct query_id, g.source_file as f, g.page_number as n from (select query_id, unnest(gold_pages) as g from c)),
+t as (select query_id, {_BARE.format("text")} as said from p join documents on source = f and documents.page_number = n where text is not null),
+a as (select query_id, i, {_BARE.format("unnest(answer_checks[i])")} as alt from (select query_id, answer_checks, unnest(range(1, len(answer_checks) + 1)) as i from c)),
+hit as (select distinct query_id, i from a join t using (query_id) where contains(said, alt)), n as (select query_id, count(*) as covered from hit group by 1)
+select query_id, round(coalesce(covered, 0) / len(answer_checks), 6) as ratio, coalesce(covered, 0) = len(answer_checks) as complete from c left join n using (query_id)""",
     "latency_by_route": "select event_type, count(value) as n, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1",
     "service_performance": """select user_id, count(*) as requests, count(case when event_type = 'error' then 1 end) as errors, round(count(case when event_type = 'error' then 1 end) / count(*), 6) as error_rate,
  round(count(case when event_type = 'error' and event_id % 7 = 0 then 1 end) / count(*), 6) as timeout_rate, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95,

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import bm25, dense, metrics, rankings, scope
-from larkspur.operators.ranking import rank_within
-from larkspur.session import durable, latest, table
+from larkspur.operators.ranking import largest, rank_within
+from larkspur.session import durable, latest, spread, table, workers
 
 #: The stated query set of searches: requests whose run is divisible by this.
 EVERY = 20
@@ -23,11 +23,10 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_requests").where(f"run_id % {EVERY} = 0 and question is not null").select("run_id", "question").distinct()
 
 
-def _index(spark: SparkSession, d: str):
-    corpus = chunks(spark, d, "content", "company")
-    posted = durable(bm25.postings(corpus.select("chunk_id", "content")))
-    n, avgdl = bm25.corpus_size(corpus).first()
-    return corpus, posted, n, avgdl
+def _index(spark: SparkSession, d: str, *columns: str) -> tuple[DataFrame, DataFrame, float]:
+    """Stored bags of the corpus' chunks with the named columns, term statistics, mean length; texts are read and told apart once."""
+    bagged = durable(bm25.bags(spread(chunks(spark, d, "content", *columns))))
+    return bagged, *bm25.bag_statistics(bagged)
 
 
 def token_df(spark: SparkSession, d: str) -> DataFrame:
@@ -36,16 +35,14 @@ def token_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    _, posted, n, avgdl = _index(spark, d)
-    return bm25.search(requests(spark, d), posted, bm25.statistics(posted, n), avgdl, query="run_id")
+    return bm25.search(requests(spark, d), *_index(spark, d), query="run_id")
 
 
 def bm25_scoped_topk(spark: SparkSession, d: str) -> DataFrame:
-    corpus, posted, n, avgdl = _index(spark, d)
     asked = requests(spark, d)
     aliases = scope.aliases(table(spark, d, "companies"))
     wanted = scope.mentioned(asked, aliases, "run_id", "question").select("run_id", "company")
-    return bm25.search(asked, posted, bm25.statistics(posted, n), avgdl, query="run_id", scope=wanted, chunk_scope=corpus.select("chunk_id", "company"))
+    return bm25.search(asked, *_index(spark, d, "company"), query="run_id", scope=wanted)
 
 
 def companies_mentioned(spark: SparkSession, d: str) -> DataFrame:
@@ -70,23 +67,30 @@ def dense_cosine_max(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("query_id").agg(F.round(F.max(dense.cosine(F.col("qe"), F.col("embedding"))), 6).alias("max_cosine"))
 
 
-def scored_votes(spark: SparkSession, d: str) -> DataFrame:
-    """(run_id, query_id, method, chunk_id, good, rank): rankings of each run and method, by their finite scores; good is the score, of dense less the distance."""
+def scored_votes(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """(run_id, query_id, method, chunk_id, good, rank): rankings of each run and method, by their finite scores; good is the score, of dense less the distance.
+
+    only: the runs or queries wanted, by their column; others are left out before anything is ranked.
+    """
     name = F.regexp_replace(F.lower(F.trim("method")), r"[\s-]+", "_")
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
-    rows = table(spark, d, "ranked_documents").where(finite).select("run_id", "query_id", name.alias("method"), "chunk_id", "score")
+    source = table(spark, d, "ranked_documents")
+    rows = source.where(finite).select("run_id", "query_id", name.alias("method"), "chunk_id", "score")
+    if only is not None:
+        rows = rows.join(only, only.columns, "left_semi")
     good = F.when(F.col("method") == "dense", -F.col("score")).otherwise(F.col("score"))
     once = rows.groupBy("run_id", "query_id", "method", "chunk_id").agg(F.max(good).alias("good"))
-    return rank_within(once, ["run_id", "query_id", "method"], [("good", False), ("chunk_id", True)])
+    # a run's rows in the source bound those of any of its methods
+    return rank_within(once, ["run_id", "query_id", "method"], [("good", False), ("chunk_id", True)], most=largest(source, ["run_id"]))
 
 
-def votes(spark: SparkSession, d: str) -> DataFrame:
+def votes(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
     """(run_id, query_id, method, chunk_id, rank)."""
-    return scored_votes(spark, d).drop("good")
+    return scored_votes(spark, d, only).drop("good")
 
 
-def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return rankings.weighted_rrf(votes(spark, d), {"dense": 2.0, "bm25": 1.0}, extra=["query_id"]).select("run_id", "query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+def rrf_fusion(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    return rankings.weighted_rrf(votes(spark, d, only), {"dense": 2.0, "bm25": 1.0}, extra=["query_id"]).select("run_id", "query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
@@ -94,21 +98,30 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Measures of all 42 fusions from one pass over the rankings: the grid is multiplied in after the votes."""
+    """Measures of all 42 fusions. A chunk's two places and its grade meet in one row; the rows of a run are brought together once, and the grid is multiplied in after that."""
     gold = labels(spark, d)
-    cast = votes(spark, d).where(F.col("method").isin("dense", "bm25")).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    relevant = gold.where("grade > 0")
+    cast = votes(spark, d, gold.select("query_id").distinct()).where(F.col("method").isin("dense", "bm25"))
+    place = lambda m: F.min(F.when(F.col("method") == m, F.col("rank"))).alias(m)
+    graded = cast.groupBy("run_id", "query_id", "chunk_id").agg(place("dense"), place("bm25")).join(relevant, ["query_id", "chunk_id"], "left")
+    best = relevant.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"))))
+    ideal = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_i") <= 3, metrics.discounted(F.col("grade"), F.col("_i")))).alias("idcg"))
     grid = F.array(*[F.struct(F.lit(k).alias("rrf_k"), F.lit(w).alias("dense_weight")) for k in (1, 5, 10, 30, 60, 100) for w in (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)])
-    each = cast.select("*", F.explode(grid).alias("g")).select("run_id", "query_id", "method", "chunk_id", "rank", "g.*")
-    weight = F.when(F.col("method") == "dense", F.col("dense_weight")).otherwise(1.0)
-    group = ["rrf_k", "dense_weight", "run_id", "query_id"]
-    total = each.groupBy(*group, "chunk_id").agg(F.round(F.sum(weight / (F.col("rrf_k") + F.col("rank"))), 12).alias("score"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id"))).where("rank <= 30")
-    by = ["rrf_k", "dense_weight", "run_id"]
-    rows = metrics.ranking_metrics(ranked, gold, ranked.select(*by, "query_id"), (3, 10), by, ["query_id"], ["chunk_id"], missing="zero")
-    means = rows.groupBy("rrf_k", "dense_weight").agg(
-        F.avg(F.when(F.col("k") == 3, F.col("ndcg"))).alias("ndcg_3"), F.avg(F.when(F.col("k") == 3, F.col("recall"))).alias("recall_3"), F.avg(F.when(F.col("k") == 10, F.col("map"))).alias("map_10")
+    together = graded.join(ideal, "query_id", "left").repartition(workers(graded), "run_id", "query_id")
+    each = together.select("*", F.explode(grid).alias("g")).select("run_id", "query_id", "chunk_id", "grade", "n", "idcg", "g.*", "dense", "bm25")
+    share = lambda w, m: F.coalesce(w / (F.col("rrf_k") + F.col(m)), F.lit(0.0))
+    group = ["run_id", "query_id", "rrf_k", "dense_weight"]
+    total = each.withColumn("score", F.round(share(F.col("dense_weight"), "dense") + share(F.lit(1.0), "bm25"), 12))
+    order = Window.partitionBy(*group).orderBy(F.desc("score"), "chunk_id")
+    ranked = total.withColumn("rank", F.row_number().over(order)).withColumn("hits", F.count("grade").over(order)).where("rank <= 10")
+    hit, rank = F.col("grade").isNotNull(), F.col("rank")
+    runs = ranked.groupBy(*group).agg(
+        F.try_divide(F.sum(F.when(hit & (rank <= 3), metrics.discounted(F.col("grade"), rank))), F.first("idcg")).alias("ndcg"),
+        F.try_divide(F.count_if(hit & (rank <= 3)), F.first("n")).alias("recall"),
+        F.try_divide(F.sum(F.when(hit, F.col("hits") / rank)), F.first("n")).alias("map"),
     )
-    return means.select("rrf_k", "dense_weight", *[F.round(c, 6).alias(c) for c in ("ndcg_3", "recall_3", "map_10")])
+    mean = lambda m, name: F.round(F.avg(F.coalesce(m, F.lit(0.0))), 6).alias(name)
+    return runs.groupBy("rrf_k", "dense_weight").agg(mean("ndcg", "ndcg_3"), mean("recall", "recall_3"), mean("map", "map_10"))
 
 
 def config_select(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +155,7 @@ def page_expand(spark: SparkSession, d: str) -> DataFrame:
 def _reranked(spark: SparkSession, d: str, posed: DataFrame) -> DataFrame:
     asked = posed.groupBy("run_id").agg(F.min("question").alias("question"))
     text = chunks(spark, d, "content")
-    candidates = rrf_fusion(spark, d).select("run_id", "chunk_id").join(asked, "run_id").join(text, "chunk_id")
+    candidates = rrf_fusion(spark, d, asked.select("run_id")).select("run_id", "chunk_id").join(asked, "run_id").join(text, "chunk_id")
     scored = bm25.rerank(candidates, query="run_id")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "chunk_id"))).select("run_id", "chunk_id", "score", "rank")
 

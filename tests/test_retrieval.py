@@ -36,23 +36,37 @@ def test_bm25_equals_plain_reading(spark):
     words = ["营业收入", "净利润", "公司", "研发", "2021", "roe", "增长"]
     corpus = ["".join(random.choices(words, k=random.randrange(1, 9))) + " " + random.choice(words) for _ in range(40)] + [None, ""]
     chunks = spark.createDataFrame(list(enumerate(corpus)), "chunk_id bigint, content string")
-    posted = bm25.postings(chunks)
-    n, avgdl = bm25.corpus_size(chunks).first()
-    stats = bm25.statistics(posted, n)
+    bagged = bm25.bags(chunks)
+    stats, avgdl = bm25.bag_statistics(bagged)
+    n, mean = bm25.corpus_size(chunks).first()
+    assert abs(mean - avgdl) < 1e-12 and sorted(map(tuple, stats.collect())) == sorted(map(tuple, bm25.statistics(bm25.postings(chunks), n).collect()))
     queries = spark.createDataFrame([(1, "公司净利润净利润 roe"), (2, "不存在xyz"), (3, None)], "query_id bigint, question string")
-    got = bm25.search(queries, posted, stats, avgdl, k=10).collect()
+    got = bm25.search(queries, bagged, stats, avgdl, k=10).collect()
     want = okapi(corpus, "公司净利润净利润 roe")
     order = sorted((i for i, s in enumerate(want) if round(s, 6) > 0), key=lambda i: (-round(want[i], 6), i))[:10]
     assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"])] == order
     assert all(abs(r.score - want[r.chunk_id]) < 1e-5 for r in got)
 
 
+def test_joined_terms_give_what_blocks_give(spark, monkeypatch):
+    random.seed(4)
+    corpus = [(i, "".join(random.choices("营业收入净利润公司研发增长", k=random.randrange(0, 30))), random.choice("abc") if i % 5 else None) for i in range(120)]
+    bagged = bm25.bags(spark.createDataFrame(corpus, "chunk_id bigint, content string, company string"))
+    stats, avgdl = bm25.bag_statistics(bagged)
+    queries = spark.createDataFrame([(i, "".join(random.choices("营业收入净利润公司", k=6))) for i in range(9)], "query_id bigint, question string")
+    wanted = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "zzz")], "query_id bigint, company string")
+    for scope in (None, wanted):
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", 1000)
+        blocks = sorted(map(tuple, bm25.search(queries, bagged, stats, avgdl, k=5, scope=scope).collect()))
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+        assert blocks == sorted(map(tuple, bm25.search(queries, bagged, stats, avgdl, k=5, scope=scope).collect())) and len(blocks) > 20
+
+
 def test_scope_is_applied_below_the_cut(spark):
     chunks = spark.createDataFrame([(1, "净利润净利润", "a"), (2, "净利润", "b"), (3, "其他内容", "b"), (4, "别的", "a"), (5, "天气", "a"), (6, "山水", "b")], "chunk_id bigint, content string, company string")
-    posted = bm25.postings(chunks)
-    n, avgdl = bm25.corpus_size(chunks).first()
+    bagged = bm25.bags(chunks)
     q = spark.createDataFrame([(1, "利润")], "query_id bigint, question string")
-    got = bm25.search(q, posted, bm25.statistics(posted, n), avgdl, k=1, scope=spark.createDataFrame([(1, "b")], "query_id bigint, company string"), chunk_scope=chunks.select("chunk_id", "company")).collect()
+    got = bm25.search(q, bagged, *bm25.bag_statistics(bagged), k=1, scope=spark.createDataFrame([(1, "b")], "query_id bigint, company string")).collect()
     assert [(r.chunk_id, r["rank"]) for r in got] == [(2, 1)]
 
 
