@@ -2,10 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import conversation, finance, grounding
-from larkspur.operators.scope import AliasFinder
 
 NAMES = ["滨江消费品有限公司", "澜赋科技有限公司", "蓝天旅游有限公司"]
-KNOWN = AliasFinder([(a, n) for n in NAMES for a in (n, n.removesuffix("有限公司"))])
+
+
+def rewritten(spark, turns, question):
+    known = spark.createDataFrame([(a, n) for n in NAMES for a in (n, n.removesuffix("有限公司"))], "alias string, company string")
+    df = spark.createDataFrame([(1, question, [("user", t) for t in turns])], "id int, question string, history array<struct<role:string,content:string>>")
+    return conversation.rewrite_questions(df, known).first()
 
 
 @pytest.mark.parametrize(
@@ -18,13 +22,13 @@ KNOWN = AliasFinder([(a, n) for n in NAMES for a in (n, n.removesuffix("有限
         (["滨江消费品2021年净利润是多少？"], "和澜赋科技相比呢？", "滨江消费品有限公司与澜赋科技有限公司2021年净利润和相比如何？"),
     ],
 )
-def test_rewrite(turns, question, expected):
-    assert conversation.rewrite(question, turns, KNOWN).rewritten_query == expected
+def test_rewrite(spark, turns, question, expected):
+    assert rewritten(spark, turns, question).rewritten_query == expected
 
 
-def test_clarification():
+def test_clarification(spark):
     for turns in ([], ["今天天气"]):
-        r = conversation.rewrite("那它呢？", turns, KNOWN)
+        r = rewritten(spark, turns, "那它呢？")
         assert r.needs_clarification and not r.used_history and r.confidence == 0.25
 
 
