@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators import bm25, dense, metrics, rankings, scope
+from larkspur.operators import bm25, dense, hybrid, metrics, rankings, scope
 from larkspur.operators.ranking import largest, rank_within
 from larkspur.session import durable, latest, spread, table, workers
 
@@ -45,6 +45,16 @@ def bm25_scoped_topk(spark: SparkSession, d: str) -> DataFrame:
     return bm25.search(asked, *_index(spark, d, "company"), query="run_id", scope=wanted)
 
 
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Scope, dense and sparse search and their fusion for the stated query set. There is no embedder here: the vector of a question is the one with its run's number, that of a chunk the one with the chunk's."""
+    vectors = table(spark, d, "embeddings")
+    asked = requests(spark, d).groupBy("run_id").agg(F.min("question").alias("question")).join(vectors.select(F.col("vec_id").alias("run_id"), "embedding"), "run_id", "left")
+    aliases = scope.aliases(table(spark, d, "companies"))
+    wanted = scope.mentioned(asked, aliases, "run_id", "question").select("run_id", "company")
+    placed = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks(spark, d, "company"), "chunk_id")
+    return hybrid.retrieve(asked, placed, *_index(spark, d, "company"), wanted, query="run_id")
+
+
 def companies_mentioned(spark: SparkSession, d: str) -> DataFrame:
     aliases = scope.aliases(table(spark, d, "companies"))
     return scope.mentioned(table(spark, d, "query_requests").select("run_id", "question").distinct(), aliases, "run_id", "question")
@@ -194,7 +204,7 @@ def debug_items(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_df, bm25_topk, bm25_scoped_topk, company_aliases, companies_mentioned, dense_l2_topk, dense_cosine_max, rrf_fusion, rrf_grid, config_select,
+        token_df, bm25_topk, bm25_scoped_topk, hybrid_topk, company_aliases, companies_mentioned, dense_l2_topk, dense_cosine_max, rrf_fusion, rrf_grid, config_select,
         page_rank, diverse_pages, page_expand, local_rerank, local_rerank_all, dedupe_first, dedupe_index, dedupe_sweep, debug_items,
     )
 }
@@ -243,6 +253,16 @@ SQL = {
 ment as (select distinct run_id, a.company from req join aliases a on contains(lower(question), alias)),
 ok as (select s.* from scored s join chunks c using (chunk_id) where not exists (select 1 from ment m where m.run_id = s.run_id) or exists (select 1 from ment m where m.run_id = s.run_id and m.company = c.company))
 select * from (select run_id, chunk_id, score, row_number() over (partition by run_id order by score desc, chunk_id) as rank from ok) where rank <= 20""",
+    "hybrid_topk": f"""with {BM25.replace("select distinct run_id, question from query_requests where run_id % 20 = 0 and question is not null", "select run_id, min(question) as question from query_requests where run_id % 20 = 0 and question is not null group by 1")}, {ALIASES},
+ment as (select distinct run_id, a.company from req join aliases a on contains(lower(question), alias)), free as (select run_id from req where run_id not in (select run_id from ment)),
+sparse as (select s.* from scored s join chunks c using (chunk_id) left join ment m on m.run_id = s.run_id and m.company = c.company where m.run_id is not null or s.run_id in (select run_id from free)),
+dist as (select r.run_id, c.chunk_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(a.embedding[i]::double - b.embedding[i]::double, 2))), 6) as score
+  from req r join embeddings a on a.vec_id = r.run_id cross join chunks c join embeddings b on b.vec_id = c.chunk_id left join ment m on m.run_id = r.run_id and m.company = c.company
+  where m.run_id is not null or r.run_id in (select run_id from free)),
+both_ as (select run_id, 'dense' as method, chunk_id, row_number() over (partition by run_id order by score, chunk_id) as rank, score from dist qualify rank <= 10
+  union all select run_id, 'bm25', chunk_id, row_number() over (partition by run_id order by score desc, chunk_id) as rank, score from sparse qualify rank <= 20),
+f as (select run_id, chunk_id, round(sum(case method when 'dense' then 2.0::double else 1.0 end / (5 + rank)), 12) as s, min(case method when 'dense' then 0 else 1000 end + rank) as first from both_ group by 1, 2)
+select * from both_ union all select run_id, 'rrf', chunk_id, row_number() over (partition by run_id order by s desc, first, chunk_id) as rank, round(s, 9) from f qualify rank <= 30""",
     "dense_l2_topk": """with d as (select q.vec_id as query_id, c.vec_id, round(list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: pow(q.embedding[i]::double - c.embedding[i]::double, 2))), 6) as distance
  from embeddings q, embeddings c where q.vec_id % 20 = 0) select * from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d) where rank <= 10""",
     "dense_cosine_max": """with d as (select q.vec_id as query_id, c.vec_id, q.embedding as a, c.embedding as b, round(list_sum(list_transform(range(1, len(c.embedding) + 1), lambda i: pow(q.embedding[i]::double - c.embedding[i]::double, 2))), 6) as distance

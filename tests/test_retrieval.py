@@ -95,6 +95,18 @@ def test_dense_topk_is_exact(spark, monkeypatch):
     assert near[0] == 0 and abs(near[1] - 1) < 1e-9
 
 
+def test_dense_scope_is_applied_below_the_cut(spark, monkeypatch):
+    rows = [(1, [0.0, 0.0], "a"), (2, [5.0, 5.0], "b"), (3, [6.0, 6.0], "b"), (4, [9.0, 9.0], None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, company string")
+    q = spark.createDataFrame([(7, [0.0, 0.0]), (8, [0.0, 0.0]), (9, [9.0, 9.0])], "vec_id bigint, embedding array<float>")
+    wanted = spark.createDataFrame([(7, "b"), (9, "none of them")], "query_id bigint, company string")
+    for sent in (dense.SENT, 2):
+        monkeypatch.setattr(dense, "SENT", sent)
+        got = {(r.query_id, r["rank"]): r.vec_id for r in dense.l2_topk(q, df, k=2, scope=wanted).collect()}
+        assert got == {(7, 1): 2, (7, 2): 3, (8, 1): 1, (8, 2): 2}
+    assert dense.l2_topk(q, df.where("false"), k=2).count() == dense.l2_topk(q.where("false"), df, k=2).count() == 0
+
+
 def test_weighted_rrf(spark):
     votes = spark.createDataFrame([(1, "dense", 1, 1), (1, "dense", 2, 2), (1, "dense", 3, 3), (1, "bm25", 1, 2), (1, "bm25", 2, 2), (1, "other", 1, 9)], "run_id int, method string, rank int, chunk_id int")
     got = rankings.weighted_rrf(votes, {"dense": 1.0, "bm25": 1.0}, limit=2).orderBy("rank").collect()
