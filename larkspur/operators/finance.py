@@ -72,7 +72,7 @@ def answers(questions: DataFrame, facts: DataFrame, key: str = "query_id", quest
     """(key, answer, sources ARRAY<STRUCT<company, source_file, page_number>>) of questions (key, question, companies ARRAY) the facts can answer.
 
     No answer: no company or metric, an explanation asked for, a company or metric without facts, another year, a unit of another currency,
-    or a difference across currencies. facts has one row for each company.
+    or a difference across currencies. A fact without a year answers no question about one, and is told without it. facts has one row for each company.
     """
     rows = questions.select(F.col(key), F.col(question).alias("q"), "companies", requested_metrics(F.col(question)).alias("metrics"))
     open_ = rows.where((F.size("companies") > 0) & (F.size("metrics") > 0) & ~any_contains(F.col("q"), EXPLAIN))
@@ -81,15 +81,17 @@ def answers(questions: DataFrame, facts: DataFrame, key: str = "query_id", quest
     amount = F.col("metric").isin(*AMOUNTS)
     unit = requested_unit(F.col("q"), F.col("currency"))
     fits = F.col("value").isNotNull() & ((F.size(years(F.col("q"))) == 0) | F.array_contains(years(F.col("q")), F.col("report_year").cast("string"))) & ~(amount & F.coalesce(unit == "mismatch", F.lit(False)))
-    shown = F.when(amount & unit.isNotNull(), format_amount(F.col("value"), F.col("currency"), unit)).otherwise(F.col("display"))
+    # a value without a printed form is printed here
+    printed = F.coalesce("display", F.when(amount, format_amount(F.col("value"), F.col("currency"), F.lit(None).cast("string"))).otherwise(F.concat(clean(F.col("value")), F.lit("%"))))
+    shown = F.when(amount & unit.isNotNull(), format_amount(F.col("value"), F.col("currency"), unit)).otherwise(printed)
     labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    said = found.withColumn("fact", F.concat(labels[F.col("metric")], F.lit("为"), shown)).withColumn("fits", fits)
+    said = found.withColumn("fact", F.concat(labels[F.col("metric")], F.lit("为"), shown)).withColumn("fits", F.coalesce(fits, F.lit(False)))
     cell = F.struct("c_pos", "m_pos", "company", "report_year", "fact", "value", "currency", "source_file", "page_number", "metric")
     one = said.groupBy(key, "q").agg(F.min("fits").alias("fits"), F.array_sort(F.collect_list(cell)).alias("cells"), F.max("c_pos").alias("last"), F.max("m_pos").alias("last_metric")).where("fits")
     lines = F.transform(
         F.sequence(F.lit(0), F.col("last")),
         lambda i: F.concat(
-            F.filter("cells", lambda c: c["c_pos"] == i)[0]["company"], F.filter("cells", lambda c: c["c_pos"] == i)[0]["report_year"].cast("string"), F.lit("年"),
+            F.filter("cells", lambda c: c["c_pos"] == i)[0]["company"], F.coalesce(F.concat(F.filter("cells", lambda c: c["c_pos"] == i)[0]["report_year"].cast("string"), F.lit("年")), F.lit("")),
             F.array_join(F.transform(F.filter("cells", lambda c: c["c_pos"] == i), lambda c: c["fact"]), "，"),
         ),
     )

@@ -140,6 +140,25 @@ def paired_lift(before: DataFrame, after: DataFrame, key: list[str], by: list[st
     return a.join(b, names, "left").groupBy(*by).agg(*agg, F.count_if("_both").alias("paired"), F.try_divide(F.count_if("_both").cast("double"), F.count(F.lit(1))).alias("coverage"))
 
 
+def matched_pairs(candidate: DataFrame, baseline: DataFrame, key: list[str], measures: tuple[str, ...]) -> DataFrame:
+    """(key, measure, baseline, candidate) of a paired comparison. Both sides must have the same keys; one that only one side has raises when its row is read."""
+    a = candidate.select(*key, F.struct(*measures).alias("_a"))
+    b = baseline.select(*key, F.struct(*measures).alias("_b"))
+    lost = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.concat(F.lit("only one side has "), F.to_json(F.struct(*key)))))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_b.{m}").alias("baseline"), F.col(f"_a.{m}").alias("candidate")) for m in measures])).alias("p")
+    return a.join(b, key, "full").where(lost.isNull()).select(*key, each).select(*key, "p.*")
+
+
+def human_review(reviews: DataFrame, claims: DataFrame, total: int) -> DataFrame:
+    """One row over accepted reviews (query_id, semantic_answer_correct, answer_relevance, completeness) and their claims (query_id, supported): coverage of `total` results, means of the judgments, and claim support."""
+    judged = reviews.agg(
+        F.try_divide(F.count(F.lit(1)).cast("double"), F.lit(total)).alias("coverage"), F.avg(F.col("semantic_answer_correct").cast("double")).alias("semantic_answer_accuracy"),
+        F.avg(F.col("answer_relevance") / 2).alias("answer_relevance"), F.avg(F.col("completeness") / 2).alias("completeness"),
+    )
+    # both sides are one row
+    return claim_support(claims, reviews).withColumn("total_queries", F.lit(total)).crossJoin(judged)
+
+
 def win_tie_loss(pairs: DataFrame, by: list[str], baseline: str, candidate: str, tolerance: float = 1e-12) -> DataFrame:
     """Counts of candidates above, level with and below their baseline."""
     d = F.col(candidate) - F.col(baseline)

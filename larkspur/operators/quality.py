@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.io import append
+
 # Stages and dispositions of a reviewed case.
 STAGES = ("query_rewrite", "knowledge_boundary", "pdf_parsing", "chunking", "dense_recall", "bm25_recall", "fusion", "reranker", "generation", "citation", "refusal", "unknown")
 DISPOSITIONS = ("evaluation_candidate", "few_shot_candidate", "ignore")
@@ -51,6 +53,14 @@ def review_violations(events: DataFrame, known: DataFrame, case: str = "bad_case
     return marked.withColumn("rule", rule).where("rule is not null").drop("_known")
 
 
+def append_reviews(events: DataFrame, known: DataFrame, path: str, case: str = "bad_case_id") -> None:
+    """Guarded append of review events: one that breaks a rule stops all of them."""
+    broken = review_violations(events, known, case).select(case, "rule").limit(5).collect()
+    if broken:
+        raise ValueError("reviews that may not be appended: " + "; ".join(f"{r[case]}: {r['rule']}" for r in broken))
+    append(events, path)
+
+
 def export_rows(cases: DataFrame) -> DataFrame:
     """Reviewed cases that are not ignored, as lines of compact JSON that keep non-ASCII text."""
     kept = cases.where((F.col("status") == "reviewed") & (F.col("disposition") != "ignore"))

@@ -71,27 +71,29 @@ def unique_pages(ranked: DataFrame, by: list[str], page: list[str]) -> DataFrame
 
 
 def diverse_pages(ranked: DataFrame, required: DataFrame | None, top_n: int, query: str = "query_id", company: str = "company", page: tuple[str, str] = ("source_file", "page_number")) -> DataFrame:
-    """ranked (query, rank, company, page...) cut to one chunk a page: first the best of each required company, in that order, then the best of the rest.
+    """ranked (query, rank, company, page...) cut to one chunk a page: first, for each required company in turn, its best chunk on a page not taken yet, then the best of the other pages.
 
-    required has (query, company, place); a query gets as many pages as it requires companies if that is more than top_n. A
-    page belongs to one company, so the best pages of different companies never compete.
+    required has (query, company, place); a query gets as many pages as it requires companies if that is more than top_n. A page
+    may hold chunks of several companies. ranked is a fused list, whose limit bounds what is brought together for a query.
     """
-    by_page = Window.partitionBy(query, *page).orderBy("rank")
-    one = ranked.withColumn("_p", F.row_number().over(by_page)).where("_p = 1").drop("_p")
+    rest = [c for c in ranked.columns if c != query]
+    lists = ranked.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", *[c for c in rest if c != "rank"]))).alias("_rows"))
     if required is None:
-        one = one.withColumn("_forced", F.lit(None).cast("int")).withColumn("_n", F.lit(top_n))
+        lists = lists.withColumn("_required", F.array().cast("array<string>"))
     else:
-        counts = required.groupBy(query).agg(F.count(F.lit(1)).cast("int").alias("_required"))
-        by_company = Window.partitionBy(query, company).orderBy("rank")
-        one = (
-            one.join(required.select(query, company, F.col("place").alias("_place")), [query, company], "left")
-            .withColumn("_c", F.row_number().over(by_company))
-            .withColumn("_forced", F.when((F.col("_c") == 1), F.col("_place")))
-            .join(counts, query, "left")
-            .withColumn("_n", F.greatest(F.lit(top_n), F.coalesce("_required", F.lit(0))))
-        )
-    order = Window.partitionBy(query).orderBy(F.col("_forced").asc_nulls_last(), "rank")
-    return one.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_n")).drop("rank", "_forced", "_n", "_place", "_c", "_required").withColumnRenamed("_rank", "rank")
+        wanted = required.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(company).alias("c")))), lambda x: x["c"]).alias("_required"))
+        lists = lists.join(wanted, query, "left").withColumn("_required", F.coalesce("_required", F.array().cast("array<string>")))
+
+    def open_page(taken: Column, row: Column) -> Column:
+        return ~F.exists(taken, lambda t: t[page[0]].eqNullSafe(row[page[0]]) & t[page[1]].eqNullSafe(row[page[1]]))
+
+    none = F.slice("_rows", 1, 0)
+    forced = F.aggregate("_required", none, lambda taken, c: F.concat(taken, F.slice(F.filter("_rows", lambda r: (r[company] == c) & open_page(taken, r)), 1, 1)))
+    lists = lists.withColumn("_forced", forced)
+    every = F.aggregate("_rows", F.col("_forced"), lambda taken, r: F.when(open_page(taken, r), F.concat(taken, F.array(r))).otherwise(taken))
+    kept = F.slice(every, F.lit(1), F.greatest(F.lit(top_n), F.size("_required")))
+    flat = lists.select(query, F.posexplode(kept).alias("_at", "_r"))
+    return flat.select(query, *[F.col(f"_r.`{c}`").alias(c) for c in rest if c != "rank"], (F.col("_at") + 1).cast("int").alias("rank"))
 
 
 def expand_pages(ranked: DataFrame, pages: DataFrame, page: tuple[str, str] = ("source_file", "page_number"), text: str = "content", full: str = "page_text") -> DataFrame:

@@ -104,6 +104,19 @@ def performance(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def report(rows: DataFrame, refusal: DataFrame | None = None, stages: DataFrame | None = None, review: DataFrame | None = None) -> DataFrame:
+    """One row for a run: its summary, performance and route counts, and as given the refusal measures and review measures (one row each) and stage measures (a row for each stage and cut, as an array)."""
+    routes = rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("route", F.lit("")), "n")))).alias("route_distribution"))
+    # every side is one row
+    out = summary(rows).crossJoin(performance(rows).select(F.struct("*").alias("performance"))).crossJoin(routes)
+    for name, one in (("refusal", refusal), ("human_review", review)):
+        if one is not None:
+            out = out.crossJoin(one.select(F.struct("*").alias(name)))
+    if stages is not None:
+        out = out.crossJoin(stages.agg(F.array_sort(F.collect_list(F.struct("*"))).alias("stage_metrics")))
+    return out
+
+
 def stage_totals(timings: DataFrame, key: str = "trace_id") -> DataFrame:
     """(key, stage, ms): a stage measured repeatedly within one request adds up."""
     return timings.groupBy(key, "stage").agg(F.round(F.sum("ms"), 3).alias("ms"))

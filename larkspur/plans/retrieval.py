@@ -281,12 +281,19 @@ a as (select rrf_k, dense_weight, run_id, query_id, count_if(rank <= 3) as h3, s
 select rrf_k, dense_weight, round(avg(case when n.n > 0 then coalesce(dcg, 0) / idcg else 0 end), 6) as ndcg_3, round(avg(case when n.n > 0 then coalesce(h3, 0) / n.n else 0 end), 6) as recall_3, round(avg(case when n.n > 0 then coalesce(pr, 0) / n.n else 0 end), 6) as map_10
 from q left join n using (query_id) left join a using (rrf_k, dense_weight, run_id, query_id) group by 1, 2""",
     "page_rank": f"with {PAGED}, f as (select run_id, source_file, page_number, min(rank) as first_rank from paged group by 1, 2, 3) select run_id, source_file, page_number, row_number() over (partition by run_id order by first_rank, source_file, page_number) as rank from f",
-    "diverse_pages": f"""with {PAGED}, {ALIASES}, asked as (select run_id, min(question) as question from query_requests where question is not null group by 1),
+    "diverse_pages": f"""with recursive {PAGED}, {ALIASES}, asked as (select run_id, min(question) as question from query_requests where question is not null group by 1),
 m0 as (select run_id, company, max(len(alias)) as n from asked join aliases on contains(lower(question), alias) group by 1, 2),
-req as (select run_id, company, row_number() over (partition by run_id order by n desc, company) as place from m0), cnt as (select run_id, count(*) as c from req group by 1),
-one as (select * from (select *, row_number() over (partition by run_id, source_file, page_number order by rank) as p from paged) where p = 1),
-f as (select o.*, case when row_number() over (partition by o.run_id, o.company order by o.rank) = 1 then place end as forced, greatest(3, coalesce(c, 0)) as n from one o left join req using (run_id, company) left join cnt on cnt.run_id = o.run_id)
-select run_id, chunk_id, source_file, page_number, r as rank from (select *, row_number() over (partition by run_id order by forced nulls last, rank) as r from f) where r <= n""",
+req as (select run_id, company, row_number() over (partition by run_id order by n desc, company) as place from m0),
+lists as (select run_id, list(struct_pack(r := rank, c := company, f := source_file, p := page_number, k := chunk_id) order by rank) as items from paged group by 1),
+base as (select l.run_id, items, coalesce((select list(company order by place) from req where req.run_id = l.run_id), []) as comps from lists l),
+rec as (select run_id, items, comps, 0 as i, items[1:0] as sel from base
+  union all select run_id, items, comps, i + 1, list_concat(sel, list_filter(items, lambda x: x.c = comps[i + 1] and not list_contains(list_transform(sel, lambda y: y.f || '|' || y.p), x.f || '|' || x.p))[1:1]) from rec where i < len(comps)),
+forced as (select * from rec where i = len(comps)),
+other as (select run_id, len(sel) as n, x.k as k, x.f as f, x.p as p, x.r as r from (select run_id, sel, unnest(items) as x from forced) where not list_contains(list_transform(sel, lambda y: y.f || '|' || y.p), x.f || '|' || x.p)
+  qualify row_number() over (partition by run_id, x.f, x.p order by x.r) = 1),
+allp as (select run_id, sel[j].k as chunk_id, sel[j].f as source_file, sel[j].p as page_number, j as rank from (select run_id, sel, unnest(range(1, len(sel) + 1)) as j from forced)
+  union all select run_id, k, f, p, n + row_number() over (partition by run_id order by r) from other)
+select a.* from allp a join forced using (run_id) where rank <= greatest(3, len(comps))""",
     "page_expand": f"""with {FUSED}, {CH}, dist as (select distinct source_file, page_number, start_index, coalesce(content, '') as t from chunks where source_file is not null and page_number is not null),
 pages as (select source_file, page_number, string_agg(t, chr(10) order by start_index nulls first, t) as full_text from dist group by 1, 2),
 g as (select run_id, chunk_id, rank, coalesce(nullif(full_text, ''), content) as content from fused join chunks using (chunk_id) left join pages using (source_file, page_number) where rank <= 3)

@@ -44,7 +44,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a file that holds one JSON array; anything but an array of objects raises."""
+    """Rows of a file that holds one JSON array; anything but an array of objects raises, an object at the top at once."""
+    other = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), F.substring(F.regexp_replace(F.substring("value", 1, 4096), r"^[\s\x{feff}]+", ""), 1, 1).alias("c")).where("c <> '['").limit(1).collect()
+    if other:
+        raise ValueError(f"{other[0]['f']} holds no JSON array")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -91,6 +94,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_vectors(df: DataFrame, path: str, key: str = "chunk_id", vector: str = "embedding") -> None:
+    """Vector index sink: (key, vector) of one width; a missing key or vector, or another width, raises, and so does an existing target."""
+    wide = df.agg(F.max(F.size(vector))).first()[0]
+    bad = F.when(F.col(key).isNull() | F.col(vector).isNull() | (F.size(vector) != F.lit(wide)), F.raise_error(F.concat(F.lit("no vector of the index's width for "), F.coalesce(F.col(key).cast("string"), F.lit("a missing key")))))
+    write_new(df.where(bad.isNull()).select(key, vector), path)
+
+
 def write_index(postings: DataFrame, frequencies: DataFrame, path: str) -> None:
     """BM25 corpus sink: the tables that a search joins."""
     postings.write.mode("overwrite").parquet(f"{path}/postings")
