@@ -103,7 +103,12 @@ def expand_pages(ranked: DataFrame, pages: DataFrame, page: tuple[str, str] = ("
     return joined.withColumn(text, F.coalesce("_full", F.col(text))).drop("_full").select(*ranked.columns)
 
 
+def of_pages(chunks: DataFrame, wanted: DataFrame, page: tuple[str, str] = ("source_file", "page_number")) -> DataFrame:
+    """The chunks of the pages that wanted names; texts of no other page are brought together."""
+    return chunks.join(wanted.select(*page).distinct(), list(page), "left_semi")
+
+
 def page_texts(chunks: DataFrame, page: tuple[str, str] = ("source_file", "page_number"), text: str = "content", order: str = "start_index") -> DataFrame:
-    """(page..., page_text): the chunks of each page in order, as its text; null text is empty. A page bounds its group."""
+    """(page..., page_text): the chunks of each page in order, as its text; null text is empty. A page of a report bounds its group."""
     parts = chunks.where(F.col(page[0]).isNotNull() & F.col(page[1]).isNotNull()).groupBy(*page).agg(F.sort_array(F.collect_set(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("p"))
     return parts.select(*page, F.array_join(F.transform("p", lambda x: x.t), "\n").alias("page_text"))

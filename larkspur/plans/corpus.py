@@ -100,6 +100,18 @@ c as (select doc_id, regexp_replace(line, '^{_S}+|{_S}+$', '', 'g') as s, list_f
 k as (select doc_id, len(cells) >= 3 and len(list_filter(cells, lambda x: regexp_matches(x, '\p{{Nd}}'))) >= 2 as t,
   len(s) > 0 and len(s) <= 40 and not regexp_matches(s, '[。！？；!?]$') and len(regexp_extract_all(s, '\p{{Nd}}+(?:\.\p{{Nd}}+)?%?')) <= 1 as h from c)
 select doc_id, count(*) as n_lines, count_if(t) as n_table, count_if(h and not t) as n_heading from k group by 1""",
+    "sentence_elements": rf"""with l as (select doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) as line, generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) as i from documents where text is not null),
+c as (select doc_id, i, regexp_replace(line, '^{_S}+|{_S}+$', '', 'g') as s, list_filter(list_transform(string_split_regex(line, '\t| {{2,}}'), lambda x: regexp_replace(x, '^{_S}+|{_S}+$', '', 'g')), lambda x: x <> '') as cells from l),
+k as (select doc_id, i, s, case when s = '' then 'blank' when len(cells) >= 3 and len(list_filter(cells, lambda x: regexp_matches(x, '\p{{Nd}}'))) >= 2 then 'table'
+  when len(s) <= 40 and not regexp_matches(s, '[。！？；!?]$') and len(regexp_extract_all(s, '\p{{Nd}}+(?:\.\p{{Nd}}+)?%?')) <= 1 then 'heading' else 'text' end as kind from c),
+b as (select *, lag(kind) over w is distinct from kind or kind = 'heading' as opens, lag(s) over w as before from k window w as (partition by doc_id order by i)),
+g as (select *, sum(opens::int) over (partition by doc_id order by i) as grp from b),
+t as (select doc_id, grp, kind, case kind when 'table' then string_agg(s, chr(10) order by i)
+  else string_agg(case when not opens and regexp_matches(before, '[A-Za-z0-9]$') and regexp_matches(s, '^[A-Za-z0-9]') then ' ' else '' end || s, '' order by i) end as whole from g where kind <> 'blank' group by 1, 2, 3),
+p as (select doc_id, grp, kind, case kind when 'text' then regexp_extract_all(whole, '[^。！？；!?]*[。！？；!?]|[^。！？；!?]+') else [whole] end as parts from t),
+e as (select doc_id, grp, kind, unnest(range(1, len(parts) + 1)) as j, regexp_replace(unnest(parts), '^{_S}+|{_S}+$', '', 'g') as element from p),
+f as (select * from e where element <> '')
+select doc_id, (row_number() over w - 1)::int as pos, kind, coalesce(sum(len(element)) over (partition by doc_id order by grp, j rows between unbounded preceding and 1 preceding), 0)::int as start, element from f window w as (partition by doc_id order by grp, j)""",
     "fixed_chunks": "with s as (select doc_id, text, unnest(range(0, greatest(ceil((len(text) - 80) / 420.0)::bigint, 1))) as i from documents where len(text) > 0) select doc_id, i * 420 as start_index, len(substring(text, i * 420 + 1, 500)) as n_chars from s",
     "companies_from_files": r"select distinct source, regexp_replace(regexp_replace(regexp_replace(source, '\.[^.]*$', ''), '^\p{Nd}+_', ''), '_report$', '', 'i') as company from documents",
     "report_years": r"select distinct source, unnest(regexp_extract_all(text, '(?:19|20)\p{Nd}{2}')) as year from documents where text is not null",

@@ -145,7 +145,17 @@ def _any(column: str, words) -> str:
 _FACTS = """f0 as (select * exclude (n) from (select *, row_number() over (partition by fact_id order by received_at desc) as n from structured_financial_data) where n = 1),
 f1 as (select * exclude (n) from (select *, row_number() over (partition by company order by report_year desc, recorded_at desc, fact_id desc) as n from f0) where n = 1),
 flat as (select company, report_year, m.key as metric, try_cast(m.value.value as decimal(22, 4)) as value from (select company, report_year, unnest(map_entries(metrics)) as m from f1))"""
+_NUMBERS = r"list_distinct(list_transform(regexp_extract_all(translate({}, '０１２３４５６７８９', '0123456789'), '(?:^|[^A-Za-z0-9])([0-9][0-9,]*(?:\.[0-9]+)?)', 1), lambda x: replace(x, ',', '')::double))"
+_CLOSE = "abs({0} - {1}) <= greatest(1e-6, abs({1}) * 1e-6)"
 SQL = {
+    "numeric_grounding": f"""with t as (select row_number() over () as id, * from (select distinct query_id, question, gold_answer, answer_checks from test_set_v2 where gold_answer is not null)),
+r as (select id, query_id, {_NUMBERS.format('gold_answer')} as said, {_NUMBERS.format("coalesce(question, '') || chr(10) || coalesce(array_to_string(flatten(answer_checks), chr(10)), '')")} as known,
+  len(regexp_extract_all(translate(gold_answer, '０１２３４５６７８９', '0123456789'), '(?:^|[^A-Za-z0-9])([0-9][0-9,]*(?:\\.[0-9]+)?)', 1))::int as n from t),
+a as (select id, unnest(said) as v from r), c as (select id, unnest(known) as s from r),
+one as (select distinct a.id, v from a join c using (id) where {_CLOSE.format('v', 's')} or {_CLOSE.format('v', '(s * 100)')} or {_CLOSE.format('v', '(s / 100)')} or {_CLOSE.format('v', '(s * 10000)')} or {_CLOSE.format('v', '(s / 10000)')}),
+two as (select distinct a.id, v from a join c x using (id) join c y using (id) where {_CLOSE.format('v', 'abs(x.s - y.s)')} or {_CLOSE.format('v', '(x.s + y.s)')} or {_CLOSE.format('v', '(x.s / nullif(y.s, 0))')} or {_CLOSE.format('v', '(x.s / nullif(y.s, 0) * 100)')}),
+lost as (select distinct id from (select id, v from a except select id, v from one except select id, v from two))
+select query_id, id not in (select id from lost) as grounded, n as n_numbers from r""",
     "latest_user_turns": f"with {_TURNS} select id, unnest(range(0, len(turns))) as place, unnest(turns) as turn from t",
     "latest_slots": rf"""with {_TURNS}, r as (select id, list_reverse(turns) as turns from t)
 select id, coalesce(list_aggregate(list_filter(list_transform(turns, lambda x: regexp_extract_all(x, '(?:19|20)\p{{Nd}}{{2}}')), lambda y: len(y) > 0)[1], 'string_agg', ','), '') as years,

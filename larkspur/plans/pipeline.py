@@ -104,7 +104,7 @@ def answer_batch(
     best = chosen.join(near, ["run_id", "chunk_id"], "left").groupBy("run_id").agg(F.max(F.when(F.col("judged"), F.col("score"))).alias("score"), F.max("near").alias("near")).join(nearest, "run_id", "left")
     pages = chosen.join(best.where(grounding.relevant(F.col("score"), 1 + F.coalesce("near", "nearest") / 2)).select("run_id"), "run_id", "left_semi")
     text = pages.join(corpus.select("chunk_id", "content"), "chunk_id")
-    whole = rankings.expand_pages(text, rankings.page_texts(corpus))
+    whole = rankings.expand_pages(text, rankings.page_texts(rankings.of_pages(corpus, pages)))
     cite = F.struct("rank", "company", "source_file", "page_number")
     context = whole.groupBy("run_id").agg(F.array_sort(F.collect_list(cite)).alias("cites"), F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("content", F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
     found = left.join(context, "run_id", "left").withColumn("route", F.when(F.col("cites").isNull(), LACKING).otherwise(RAG))

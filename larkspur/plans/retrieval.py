@@ -158,7 +158,8 @@ def page_expand(spark: SparkSession, d: str) -> DataFrame:
     corpus = chunks(spark, d, "source_file", "page_number", "start_index", "content")
     top = rrf_fusion(spark, d).where("rank <= 3").select("run_id", "chunk_id", "rank")
     text = corpus.select("chunk_id", "source_file", "page_number", "content")
-    grown = rankings.expand_pages(top.join(text, "chunk_id"), rankings.page_texts(corpus))
+    chosen = top.join(text, "chunk_id")
+    grown = rankings.expand_pages(chosen, rankings.page_texts(rankings.of_pages(corpus, chosen)))
     return grown.select("run_id", "chunk_id", "rank", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
