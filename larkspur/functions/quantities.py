@@ -74,6 +74,7 @@ QUANTITY = re.compile(
     rf"|(?<![A-Za-z0-9.,])(?P<minus3>{_SIGN})?(?P<num3>{NUMBER}|(?<![零〇一二两三四五六七八九十百千]){HAN})\s*(?:(?P<scale3>{_SCALE})\s*(?P<after3>{_AFTER})?|(?P<after4>{_AFTER}))(?![a-z])",
     re.IGNORECASE,
 )
+_ANY = re.compile(r"\d|[零〇一二两三四五六七八九十]")
 BARE = re.compile(rf"\s*([-−+]?{NUMBER})\s*")
 
 
@@ -107,6 +108,8 @@ def quantities(text: str | None) -> list[Quantity]:
     if not text:
         return []
     s = plain(text)
+    if not _ANY.search(s):
+        return []
     out: list[Quantity] = []
     with localcontext() as exact:
         exact.prec = 60

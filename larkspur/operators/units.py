@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.quantities import Quantity, bare_number, currency_code, quantities
 from larkspur.operators.ranking import rank_within
-from larkspur.session import latest, workers
+from larkspur.session import durable, latest, workers
 
 #: Levels of unit changes: powers of ten between units in use, of money, ratios and measures.
 KNOWN_LEVELS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)
@@ -41,19 +41,34 @@ BLOCK = 4096
 RATIOS = ("debt_ratio", "asset_liability_ratio", "roe")
 
 
-def segments(y: np.ndarray, noise: float = NOISE, penalty: float | None = None) -> list[tuple[int, int, float]]:
+def segments(y: np.ndarray | list[float], noise: float = NOISE, penalty: float | None = None) -> list[tuple[int, int, float]]:
     """(from, to, level) of the segmentation of y that minimises squared error / noise² + penalty for each segment, exactly.
 
-    Pruned dynamic programming over runs of equal values; no best segmentation needs a cut within such a run.
+    Pruned dynamic programming over runs of equal values; no best segmentation needs a cut within such a run. Neighbouring runs
+    that lie g apart are best kept apart where g² > 4 noise² penalty: r runs in one segment leave an error of at least (r - 1) g² / 4.
     """
     n = len(y)
     if n == 0:
         return []
     penalty = 3 * math.log(n + 1) if penalty is None else penalty
+    if n <= 64:
+        runs: list[list] = []
+        for i, v in enumerate(y.tolist() if isinstance(y, np.ndarray) else y):
+            if runs and abs(v - last) <= noise / 100:
+                runs[-1][1], runs[-1][2] = i + 1, runs[-1][2] + v
+            else:
+                runs.append([i, i + 1, v])
+            last = v
+        levels = [(a, b, t / (b - a)) for a, b, t in runs]
+        if all((p[2] - q[2]) ** 2 > 4 * noise**2 * penalty for p, q in zip(levels, levels[1:], strict=False)):
+            return levels
+        y = np.asarray(y, float)
     first = np.concatenate([[0], np.flatnonzero(np.abs(np.diff(y)) > noise / 100) + 1])
     weight = np.diff(np.concatenate([first, [n]])).astype(float)
     value = np.add.reduceat(y, first) / weight
     m = len(first)
+    if m == 1 or (np.diff(value) ** 2).min() > 4 * noise**2 * penalty:
+        return [(int(a), int(b), float(v)) for a, b, v in zip(first, [*first[1:], n], value, strict=True)]
     w = np.concatenate([[0], np.cumsum(weight)])
     s1 = np.concatenate([[0], np.cumsum(weight * value)])
     s2 = np.concatenate([[0], np.cumsum(weight * value**2)])
@@ -181,7 +196,8 @@ def fact_quantities(df: DataFrame, block: int = BLOCK) -> DataFrame:
     read = flat.select("fact_id", "source", "year", "currency", "item", "m.value", "m.display").mapInArrow(
         _read_facts, "fact_id string, source string, year int, item string, kind string, currency string, recorded double, stated double, unit_size double, level double, differs boolean, other_currency boolean"
     )
-    keyed = read.withColumn("source", F.coalesce("source", F.lit("")))
+    # ranked after it is counted; stored, so that no text is read twice
+    keyed = durable(read.withColumn("source", F.coalesce("source", F.lit(""))))
     placed = rank_within(keyed, ["source", "kind"], [("year", True), ("fact_id", True), ("item", True)], "place").withColumn("block", F.floor((F.col("place") - 1) / block))
     history = ["source", "kind", "block"]
     apart = placed.repartition(workers(df), *history).sortWithinPartitions(*history, "place")
@@ -220,7 +236,7 @@ def answer_rows(gold: str | None, checks: list[list[str | None] | None] | None)
                     nearest = min(equal, key=lambda s: abs(_log(q.size, s.size)))
                     history.append((len(out) - 1, _log(q.size, nearest.size)))
     if history:
-        y = np.array([0.0, *[h for _, h in history]])
+        y = [0.0, *[h for _, h in history]]
         for a, b, level in segments(y):
             for i in range(max(a, 1), b):
                 out[history[i - 1][0]][6] = known_level(level)
