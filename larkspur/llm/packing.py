@@ -17,6 +17,8 @@ positive capacity are skipped. Every row is an item of its own, repeated keys to
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -38,43 +40,45 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(sizes)
     if k == 1 or n == 0:
         return np.zeros(n, np.int64), np.array([sizes.sum()] + [0] * (k - 1), np.int64)[:k]
-    # partial partitions: sums above the least one in falling order, and the node that each window's items hang on (-1: none)
+    # partial partitions: sums of the used windows, rising, and the node that each window's items hang on (-1: none). Unused windows
+    # are at 0; once all are used, sums count from the least one, which stays in the list so that adding an item touches one place.
     left, right = [-1] * n, [-1] * n
-    heap = []
-    for i, s in enumerate(sizes.tolist()):
-        heap.append((-s, i, np.array([s], np.int64), np.array([i], np.int64)))
+    heap: list[tuple[int, int, list[int], list[int]]] = [(-s, i, [s], [i]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     tick = n
+
+    def joined(x: int, y: int) -> int:
+        if x < 0 or y < 0:
+            return max(x, y)
+        left.append(x)
+        right.append(y)
+        return len(left) - 1
+
     while len(heap) > 1:
-        _, _, a, an = heapq.heappop(heap)
-        _, _, b, bn = heapq.heappop(heap)
-        # a and b list their used windows only; all others are at 0
-        p, q = len(a), len(b)
-        free = k - p - q
-        if free >= 0:
-            sums, nodes = np.concatenate([a, b]), np.concatenate([an, bn])
+        _, _, sums, nodes = heapq.heappop(heap)
+        _, _, more, hang = heapq.heappop(heap)
+        if len(more) > len(sums):
+            sums, nodes, more, hang = more, hang, sums, nodes
+        if len(more) == 1:
+            # one window's items go into an unused window, or else into the emptiest one
+            value, node = more[0], hang[0]
+            if len(sums) == k:
+                value, node = sums.pop(0) + value, joined(nodes.pop(0), node)
+            i = bisect_left(sums, value)
+            sums.insert(i, value)
+            nodes.insert(i, node)
         else:
-            both = -free  # the emptiest of a take the emptiest of b in reverse
-            tail = a[p - both :] + b[q - both :][::-1]
-            nodes_a, nodes_b = an[p - both :], bn[q - both :][::-1]
-            joined = np.empty(both, np.int64)
-            for i, (x, y) in enumerate(zip(nodes_a.tolist(), nodes_b.tolist(), strict=True)):
-                if x < 0 or y < 0:
-                    joined[i] = max(x, y)
-                else:
-                    joined[i] = len(left)
-                    left.append(x)
-                    right.append(y)
-            sums, nodes = np.concatenate([a[: p - both], b[: q - both], tail]), np.concatenate([an[: p - both], bn[: q - both], joined])
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        if len(sums) == k:
-            sums = sums - sums[-1]
-        spread = int(sums[0]) - (int(sums[-1]) if len(sums) == k else 0)
-        heapq.heappush(heap, (-spread, tick, sums, nodes))
+            both = max(0, len(sums) + len(more) - k)
+            base, other = (x[0] if len(x) == k else 0 for x in (sums, more))
+            # the emptiest of one take the emptiest of the other in reverse
+            rows = [(x - base, c) for x, c in zip(sums[both:], nodes[both:], strict=True)] + [(y - other, c) for y, c in zip(more[both:], hang[both:], strict=True)]
+            rows += [(x - base + y - other, joined(c, d)) for x, c, y, d in zip(sums[:both], nodes[:both], more[:both][::-1], hang[:both][::-1], strict=True)]
+            rows.sort(key=itemgetter(0))
+            sums, nodes = [x for x, _ in rows], [c for _, c in rows]
+        heapq.heappush(heap, ((sums[0] if len(sums) == k else 0) - sums[-1], tick, sums, nodes))
         tick += 1
     window, total = np.zeros(n, np.int64), np.zeros(k, np.int64)
-    for w, top in enumerate(heap[0][3].tolist()):
+    for w, top in enumerate(heap[0][3]):
         stack = [top] if top >= 0 else []
         while stack:
             x = stack.pop()
