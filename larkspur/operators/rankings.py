@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import is_blank, key_text, without_space
+from larkspur.session import durable, workers
 
 
 def chunk_identity(source_file: str = "source_file", page: str = "page_number", start: str = "start_index", text: str = "content") -> list[Column]:
@@ -75,14 +76,32 @@ def diverse_pages(ranked: DataFrame, required: DataFrame | None, top_n: int, que
 
     required has (query, company, place); a query gets as many pages as it requires companies if that is more than top_n. A page
     may hold chunks of several companies. ranked is a fused list, whose limit bounds what is brought together for a query.
+
+    A query that requires at most one company needs no turns: its best chunk takes its page, the best chunk any other page. Only lists
+    of queries that require several are worked off in turn. ranked is stored, since both kinds read it.
     """
-    rest = [c for c in ranked.columns if c != query]
-    lists = ranked.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", *[c for c in rest if c != "rank"]))).alias("_rows"))
+    columns = ranked.columns
     if required is None:
-        lists = lists.withColumn("_required", F.array().cast("array<string>"))
-    else:
-        wanted = required.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(company).alias("c")))), lambda x: x["c"]).alias("_required"))
-        lists = lists.join(wanted, query, "left").withColumn("_required", F.coalesce("_required", F.array().cast("array<string>")))
+        return _one_a_page(ranked.withColumn("_place", F.lit(None).cast("int")).withColumn("_n", F.lit(0)), top_n, query, company, page).select(columns)
+    wanted = required.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(company).alias("c")))), lambda x: x["c"]).alias("_required"))
+    stored = durable(ranked.join(wanted, query, "left").withColumn("_n", F.greatest(F.size("_required"), F.lit(0))))
+    # place of the only required company, where the chunk is one of it
+    place = F.when(F.get("_required", F.lit(0)) == F.col(company), 1)
+    single = _one_a_page(stored.where("_n <= 1").withColumn("_place", place), top_n, query, company, page)
+    return single.select(columns).unionByName(_in_turn(stored.where("_n > 1"), top_n, query, company, page).select(columns))
+
+
+def _one_a_page(rows: DataFrame, top_n: int, query: str, company: str, page: tuple[str, str]) -> DataFrame:
+    together = rows.repartition(workers(rows), query)
+    best = F.when(F.col("_place").isNotNull() & (F.row_number().over(Window.partitionBy(query, company).orderBy("rank")) == 1), 1)
+    first = together.withColumn("_forced", best).withColumn("_p", F.row_number().over(Window.partitionBy(query, *page).orderBy(F.col("_forced").asc_nulls_last(), "rank"))).where("_p = 1")
+    order = Window.partitionBy(query).orderBy(F.col("_forced").asc_nulls_last(), "rank")
+    return first.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.greatest(F.lit(top_n), F.col("_n"))).withColumn("rank", F.col("_rank"))
+
+
+def _in_turn(rows: DataFrame, top_n: int, query: str, company: str, page: tuple[str, str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in (query, "rank", "_required", "_n")]
+    lists = rows.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", *rest))).alias("_rows"), F.first("_required").alias("_required"))
 
     def open_page(taken: Column, row: Column) -> Column:
         return ~F.exists(taken, lambda t: t[page[0]].eqNullSafe(row[page[0]]) & t[page[1]].eqNullSafe(row[page[1]]))
@@ -93,7 +112,7 @@ def diverse_pages(ranked: DataFrame, required: DataFrame | None, top_n: int, que
     every = F.aggregate("_rows", F.col("_forced"), lambda taken, r: F.when(open_page(taken, r), F.concat(taken, F.array(r))).otherwise(taken))
     kept = F.slice(every, F.lit(1), F.greatest(F.lit(top_n), F.size("_required")))
     flat = lists.select(query, F.posexplode(kept).alias("_at", "_r"))
-    return flat.select(query, *[F.col(f"_r.`{c}`").alias(c) for c in rest if c != "rank"], (F.col("_at") + 1).cast("int").alias("rank"))
+    return flat.select(query, *[F.col(f"_r.`{c}`").alias(c) for c in rest], (F.col("_at") + 1).cast("int").alias("rank"))
 
 
 def expand_pages(ranked: DataFrame, pages: DataFrame, page: tuple[str, str] = ("source_file", "page_number"), text: str = "content", full: str = "page_text") -> DataFrame:
