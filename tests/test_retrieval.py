@@ -62,6 +62,40 @@ def test_joined_terms_give_what_blocks_give(spark, monkeypatch):
         assert blocks == sorted(map(tuple, bm25.search(queries, bagged, stats, avgdl, k=5, scope=scope).collect())) and len(blocks) > 20
 
 
+def rows_of_maps(plan):
+    """Rows that came back from Python in a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return rows_of_maps(plan.executedPlan())
+    if "QueryStage" in name:
+        return rows_of_maps(plan.plan())
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if name == "MapInArrow" else 0
+    return own + sum(rows_of_maps(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.fixture
+def searched(spark):
+    """120 chunks of one company in one partition, and 6 questions on it."""
+    random.seed(7)
+    corpus = [(i, "".join(random.choices("营业收入净利润公司", k=12)), "a") for i in range(120)]
+    bagged = bm25.bags(spark.createDataFrame(corpus, "chunk_id bigint, content string, company string").coalesce(1))
+    queries = spark.createDataFrame([(i, "营业收入净利" + "润公司营收入"[i]) for i in range(6)], "query_id bigint, question string")
+    return queries, bagged, *bm25.bag_statistics(bagged)
+
+
+def test_only_the_best_of_a_task_leave_a_scoped_search(spark, small_batches, searched):
+    wanted = spark.createDataFrame([(i, "a") for i in range(6)], "query_id bigint, company string")
+    found = bm25.search(*searched, k=3, scope=wanted)
+    assert len(found.collect()) == 18 and rows_of_maps(found._jdf.queryExecution().executedPlan()) == 18
+
+
 def test_scope_is_applied_below_the_cut(spark):
     chunks = spark.createDataFrame([(1, "净利润净利润", "a"), (2, "净利润", "b"), (3, "其他内容", "b"), (4, "别的", "a"), (5, "天气", "a"), (6, "山水", "b")], "chunk_id bigint, content string, company string")
     bagged = bm25.bags(chunks)
