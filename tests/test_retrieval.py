@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import bm25, dense, metrics, rankings, scope
+from larkspur.plans import retrieval
 
 
 def tokens(t):
@@ -104,6 +105,17 @@ def test_scope_is_applied_below_the_cut(spark):
     assert [(r.chunk_id, r["rank"]) for r in got] == [(2, 1)]
 
 
+def test_bm25_topk_answers_every_request(spark, tmp_path):
+    chunks = [(i, t, "a", 0) for i, t in enumerate(["净利润", "净利润增长", "天气", "山水", "别的", "其他"])]
+    spark.createDataFrame(chunks, "chunk_id bigint, content string, company string, received_at bigint").write.parquet(f"{tmp_path}/source_documents.parquet")
+    asked = [(1, "利润"), (7, "利润"), (20, "利润"), (21, None), (22, "天气"), (22, "山水"), (23, "无xyz"), (None, "利润")]
+    spark.createDataFrame(asked, "run_id bigint, question string").write.parquet(f"{tmp_path}/query_requests.parquet")
+    got = {}
+    for r in sorted(retrieval.bm25_topk(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.run_id, []).append(r.chunk_id)
+    assert got == {1: [0, 1], 7: [0, 1], 20: [0, 1], None: [0, 1], 22: [2, 3]}
+
+
 def test_rerank_uses_candidates_only(spark):
     rows = [(1, 10, "利润", "利润增长"), (1, 11, "利润", "其他"), (1, 12, "利润", None), (2, 10, "无关", "利润增长")]
     got = {(r.query_id, r.chunk_id): r.score for r in bm25.rerank(spark.createDataFrame(rows, "query_id bigint, chunk_id bigint, question string, content string")).collect()}
