@@ -97,6 +97,16 @@ def test_only_the_best_of_a_task_leave_a_scoped_search(spark, small_batches, sea
     assert len(found.collect()) == 18 and rows_of_maps(found._jdf.queryExecution().executedPlan()) == 18
 
 
+def test_parts_of_the_queries_share_the_cores(spark, monkeypatch, small_batches, searched):
+    queries, bagged, stats, avgdl = searched
+    whole = sorted(map(tuple, bm25.search(queries, bagged, stats, avgdl, k=3).collect()))
+    # 8 parts on 4 cores: one task each, so nothing but the result leaves them, however the chunks are partitioned
+    tokens = queries.select(F.sum(F.size(bm25.bm25_tokens(F.col("question"))))).first()[0]
+    monkeypatch.setattr(bm25, "SENT", -(-tokens // 8), raising=False)
+    found = bm25.search(queries, bagged.repartition(8), stats, avgdl, k=3)
+    assert sorted(map(tuple, found.collect())) == whole and rows_of_maps(found._jdf.queryExecution().executedPlan()) == len(whole) == 18
+
+
 def test_scope_is_applied_below_the_cut(spark):
     chunks = spark.createDataFrame([(1, "净利润净利润", "a"), (2, "净利润", "b"), (3, "其他内容", "b"), (4, "别的", "a"), (5, "天气", "a"), (6, "山水", "b")], "chunk_id bigint, content string, company string")
     bagged = bm25.bags(chunks)
