@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import bm25, dense, metrics, rankings, scope
+from larkspur.operators import bm25, dense, hybrid, metrics, rankings, scope
 from larkspur.plans import retrieval
 
 
@@ -115,6 +115,16 @@ def test_scope_is_applied_below_the_cut(spark):
     assert [(r.chunk_id, r["rank"]) for r in got] == [(2, 1)]
 
 
+def test_only_the_best_of_a_task_leave_the_sparse_search_of_a_hybrid_one(spark, small_batches, searched):
+    queries, *index = searched
+    vectors = spark.createDataFrame([(0, [0.0], "a")], "chunk_id bigint, embedding array<float>, company string")
+    posed = queries.withColumn("embedding", F.when(F.lit(False), F.array(F.lit(0.0).cast("float"))))
+    wanted = spark.createDataFrame([(0, "a"), (1, "b")], "query_id bigint, company string")
+    found = hybrid.retrieve(posed, vectors, *index, scope=wanted).where("method = 'bm25'")
+    # one of the six names a company without chunks
+    assert len(found.collect()) == 100 and rows_of_maps(found._jdf.queryExecution().executedPlan()) == 100
+
+
 def test_bm25_topk_answers_every_request(spark, tmp_path):
     chunks = [(i, t, "a", 0) for i, t in enumerate(["净利润", "净利润增长", "天气", "山水", "别的", "其他"])]
     spark.createDataFrame(chunks, "chunk_id bigint, content string, company string, received_at bigint").write.parquet(f"{tmp_path}/source_documents.parquet")
