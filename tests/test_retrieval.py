@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import bm25, dense, hybrid, metrics, rankings, scope
 from larkspur.plans import retrieval
+from larkspur.session import durable, latest, latest_of_few
 
 
 def tokens(t):
@@ -107,6 +108,48 @@ def test_parts_of_the_queries_share_the_cores(spark, monkeypatch, small_batches,
     assert sorted(map(tuple, found.collect())) == whole and rows_of_maps(found._jdf.queryExecution().executedPlan()) == len(whole) == 18
 
 
+def test_a_search_has_no_more_tasks_than_cores(spark, small_batches, searched):
+    queries, bagged, stats, avgdl = searched
+    found = bm25.search(queries, bagged.repartition(8), stats, avgdl, k=3)
+    # 4 cores, 6 queries: as many times the 3 best of each leave tasks, however the chunks are partitioned
+    assert len(found.collect()) == 18 and rows_of_maps(found._jdf.queryExecution().executedPlan()) == 4 * 18
+
+
+def shuffled_rows(plan):
+    """Rows that a plan that has run wrote to shuffles."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_that_come_once_are_not_shuffled(spark, tmp_path, monkeypatch):
+    rows = [(i, f"净利润{i}", "a", 0) for i in range(200)] + [(3, "改", "b", 1), (5, "净利润5", "a", 2), (None, "甲", "a", 0), (None, "乙", "c", 1)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, content string, company string, received_at bigint")
+    df.repartition(4).write.parquet(f"{tmp_path}/source_documents.parquet")
+    stored = []
+    monkeypatch.setattr(retrieval, "durable", lambda df, *how: stored.append(df) or durable(df, *how))
+    bagged, _, avgdl = retrieval._index(spark, str(tmp_path), "company")
+    got = {r.chunk_id: (r.tokens, r.company) for r in bagged.collect()}
+    assert len(got) == bagged.count() == 201 and got[3] == (["改"], "b") and got[None] == (["乙"], "c") and "净利" in got[5][0]
+    assert abs(avgdl - sum(len(t) for t, _ in got.values()) / 201) < 1e-9
+    # the two deliveries of three chunks
+    assert len(stored[0].collect()) == 201 and shuffled_rows(stored[0]._jdf.queryExecution().executedPlan()) <= 6
+
+
+def test_latest_of_few_is_latest(spark):
+    random.seed(8)
+    rows = [(random.choice([None, *range(30)]), random.choice("abc"), random.choice([None, 1, 2, 3])) for _ in range(60)] + [(99, "z", None)]
+    df = spark.createDataFrame(rows, "id bigint, t string, at bigint")
+    want = sorted(map(repr, latest(df, ["id"], "at").collect()))
+    for most in (2_000_000, 0):
+        assert sorted(map(repr, latest_of_few(df, "id", "at", most).collect())) == want
+    assert latest_of_few(df.where("false"), "id", "at").count() == 0
+
+
 def test_scope_is_applied_below_the_cut(spark):
     chunks = spark.createDataFrame([(1, "净利润净利润", "a"), (2, "净利润", "b"), (3, "其他内容", "b"), (4, "别的", "a"), (5, "天气", "a"), (6, "山水", "b")], "chunk_id bigint, content string, company string")
     bagged = bm25.bags(chunks)
